@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from evgraph.llm.bpe_chunks import op9_bpe_chunks
+from evgraph.llm.ngram_join import op8_ngram_join
+from evgraph.llm.quality_rules import op6_quality_rules
+from evgraph.llm.ring_sharding import op10_ring_sharding
 from evgraph.llm.substring_dedup import op7_substring_dedup
+from evgraph.llm.suffix_dedup import op5_suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op5_suffix_dedup": op5_suffix_dedup,
+        "op6_quality_rules": op6_quality_rules,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_ngram_join": op8_ngram_join,
+        "op9_bpe_chunks": op9_bpe_chunks,
+        "op10_ring_sharding": op10_ring_sharding,
     }
 
 
