@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from evgraph.llm.adaptive_scan import op3_adaptive_scan
 from evgraph.llm.bpe_chunks import op9_bpe_chunks
+from evgraph.llm.language_id import op1_language_id
+from evgraph.llm.mixing import op4_mixing
 from evgraph.llm.ngram_join import op8_ngram_join
 from evgraph.llm.quality_rules import op6_quality_rules
 from evgraph.llm.ring_sharding import op10_ring_sharding
 from evgraph.llm.substring_dedup import op7_substring_dedup
 from evgraph.llm.suffix_dedup import op5_suffix_dedup
+from evgraph.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": op1_language_id,
+        "op2_toxicity": op2_toxicity,
+        "op3_adaptive_scan": op3_adaptive_scan,
+        "op4_mixing": op4_mixing,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_quality_rules": op6_quality_rules,
         "op7_substring_dedup": op7_substring_dedup,
