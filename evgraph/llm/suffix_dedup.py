@@ -20,7 +20,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -247,15 +246,17 @@ def _suffixes(s: Slice, length: int, reach: int, found: Callable, hot: Callable)
             yield data[a : z + length], data[f:a][::-1], r, f - o, z - o
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, reach: int = 96) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 200, reach: int = 96, whole_characters: bool = False, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """Remove each byte covered by a string of `length` bytes that also starts anywhere else in the corpus.
 
-    docs: doc_id long, text string; other columns are ignored. reach (at most length - GRAM): how far into a window its anchor may
+    docs: doc_id long, text string; other columns are ignored but for those named in keep, which come back after the others.
+    whole_characters: characters that lose a byte are removed, so that what is kept is UTF-8. reach (at most length - GRAM): how far into a window its anchor may
     lie. Returns doc_id, n_bytes long, n_removed long, n_spans long (maximal removed runs), kept binary (the remaining bytes).
     A null text counts as empty; texts shorter than length lose nothing. Texts are whole; strings never cross documents. A null
     doc_id orders before all others. Rows that repeat a doc_id and its text count as one document and get the same result.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    doc_id, rest = F.col("doc_id").cast("long"), F.struct(F.lit(0).alias("none"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)))
+    docs = docs.select(F.coalesce(doc_id, F.lit(-(1 << 63))).alias("key"), doc_id.alias("doc_id"), "text", rest.alias("rest"))
     sc = docs.sparkSession.sparkContext
     total = text_bytes(docs)
     near = length - reach + 1
@@ -264,7 +265,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, reach: int = 96) -> DataFra
         a, _, _ = anchors(s, length, reach)
         return s.byte_hash(s.byte_prefix(), a, a + near), None
 
-    filter_ = sc.broadcast(repeat_filter(docs, near_hashes, total, hot_from=HOT_RUNS))
+    filter_ = sc.broadcast(repeat_filter(docs.select("text"), near_hashes, total, hot_from=HOT_RUNS))
 
     # range borders only balance the exchange; they come from the anchors of a bounded sample
     sample = docs.orderBy(F.xxhash64("key")).select(F.substring("text", 1, 20_000).alias("text")).limit(SAMPLE_DOCS).toArrow()["text"].combine_chunks()
@@ -326,7 +327,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, reach: int = 96) -> DataFra
 
     def remove(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists = batch.column("doc_id").to_pylist(), batch.column("windows")
+            ids, lists, rest = batch.column("doc_id").to_pylist(), batch.column("windows"), batch.column("rest")
             for s in slices(batch.column("text")):
                 rows = []
                 for i in range(s.rows):
@@ -339,11 +340,16 @@ def suffix_dedup(docs: DataFrame, length: int = 200, reach: int = 96) -> DataFra
                     np.add.at(change, found.values.field("first").to_numpy(), 1)
                     np.add.at(change, found.values.field("last").to_numpy() + length, -1)
                     gone = np.cumsum(change[:-1]) > 0
+                    if whole_characters:
+                        character = np.cumsum((text & 0xC0) != 0x80)
+                        gone = (np.bincount(character, gone) > 0)[character]
                     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     rows.append((ids[s.first + i], len(text), int(gone.sum()), spans, text[~gone].tobytes()))
-                yield batch_of(rows, result)
+                yield batch_of(rows, result).append_column("rest", rest.slice(s.first, s.rows))
 
-    return docs.join(windows, docs["key"] == windows["at_key"], "left").drop("at_key").mapInArrow(remove, result)
+    joined = docs.join(windows, docs["key"] == windows["at_key"], "left").drop("key", "at_key")
+    done = joined.mapInArrow(remove, f"{result}, rest {docs.schema['rest'].dataType.simpleString()}")
+    return done.select(*(x.split()[0] for x in result.split(", ")), *(F.col(f"rest.c{i}").alias(c) for i, c in enumerate(keep)))
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
