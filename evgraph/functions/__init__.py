@@ -1,0 +1 @@
+"""Column expressions: keys, years, types, weights, ids and scores."""

@@ -1,11 +1,18 @@
-"""Queries that bind the operators to the tables, each with its SQL twin."""
+"""Queries that bind the operators to the tables, each with its SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
+from evgraph.plans import graph_plans, unit_plans
+
+_PARTS = (unit_plans, graph_plans)
+
 
 def queries() -> dict:
-    return {}
+    out = {k: f for part in _PARTS for k, (f, _) in part.ORACLES.items()}
+    for part in _PARTS:
+        out |= getattr(part, "ROWS_ONLY", {})
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for part in _PARTS for k, (_, s) in part.ORACLES.items()}
