@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evgraph.plans import graph_plans, unit_plans
+from evgraph.plans import graph_plans, link_plans, metric_plans, unit_plans
 
-_PARTS = (unit_plans, graph_plans)
+_PARTS = (unit_plans, graph_plans, metric_plans, link_plans)
 
 
 def queries() -> dict:
