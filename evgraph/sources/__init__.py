@@ -1,0 +1 @@
+"""Reading and writing tables, and what is known about them."""
