@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,11 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
 
 
+def doc_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """doc_id, or for a null one a number below all usual ones that depends on the text: equal texts without an id are one document."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(-(1 << 63)))
+
+
 def bucket_bits(total_bytes: int, most: int = 16) -> int:
     """Log2 of the number of exchange buckets: about 4 MB of text each, so that a bucket fits in a task at any size."""
     return int(min(most, max(4, np.ceil(np.log2(max(1, total_bytes) / (4 << 20))))))

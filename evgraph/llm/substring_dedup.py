@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.llm.repeats import repeat_filter
-from evgraph.llm.shared import batch_of, bucket_bits, deal, firsts, gather, text_bytes
+from evgraph.llm.shared import batch_of, bucket_bits, deal, doc_key, firsts, gather, text_bytes
 from evgraph.llm.text import U64, Slice, full_windows, slices, window_hashes, word_hashes
 
 FLUSH = 1 << 19
@@ -58,19 +58,15 @@ def _earliest(h1, h2, doc, at):
     return h1[keep], h2[keep], doc[keep], at[keep]
 
 
-def _doc_ids(batch) -> np.ndarray:
-    return batch.column("doc_id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     """Remove every word that lies in a window of `window` words whose sequence also starts earlier.
 
     docs: doc_id long, text string; other columns are ignored. Returns doc_id, n_words long,
     n_removed long, n_spans long (maximal removed runs), text string (kept words joined by one space).
-    Null text: no words. Texts of fewer words than the window lose nothing. A null doc_id orders before all
-    others. Rows that repeat a doc_id and its text count as one document and get the same result.
+    Null text: no words. Texts of fewer words than the window lose nothing. Rows that repeat a doc_id and its text count as one
+    document and get the same result; so do rows without a doc_id that have equal texts, which order before all others.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("key"), "text")
     sc = docs.sparkSession.sparkContext
     total = text_bytes(docs)
     block = window // 2
@@ -80,13 +76,13 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
         at, h = w.probes(block)
         return h, (at - w.first[w.docs[at]]) % block == 0
 
-    index = sc.broadcast(repeat_filter(docs, anchors, total, flagged=True))
+    index = sc.broadcast(repeat_filter(docs.select("text"), anchors, total, flagged=True))
     bucket = bucket_bits(total)
 
     def extended(batches):
         parts, n = [], 0
         for batch in batches:
-            ids = _doc_ids(batch)
+            ids = batch.column("key").to_numpy()
             for s in slices(batch.column("text")):
                 w = _Words(s)
                 at = w.candidates(window, index.value.holds)
@@ -115,18 +111,18 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
         return pa.table([pa.array(doc[cut]), pa.array(lists, pa.binary())], names=["doc_id", "at"])
 
     earliest = (
-        docs.mapInArrow(extended, "bucket int, h1 binary, h2 binary, doc binary, at binary")
+        docs.select("key", "text").mapInArrow(extended, "bucket int, h1 binary, h2 binary, doc binary, at binary")
         .groupBy("bucket")
         .applyInArrow(first_places, "doc_id long, at binary")
     )
     earliest = earliest.groupBy("doc_id").agg(F.collect_list("at").alias("at")).withColumnRenamed("doc_id", "first_doc")
 
-    result = "doc_id long, n_words long, n_removed long, n_spans long, text string, source string"
+    result = "doc_id long, n_words long, n_removed long, n_spans long, text string, source string, key long"
 
     def triage(batches):
         """Documents without a candidate window are done; the others carry their text on."""
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+            ids, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
             for s in slices(batch.column("text")):
                 w = _Words(s)
                 waits = np.zeros(s.rows, bool)
@@ -134,10 +130,10 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
                 rows = []
                 for i in range(s.rows):
                     if waits[i]:
-                        rows.append((ids[s.first + i], None, None, None, None, s.text(i).decode()))
+                        rows.append((ids[s.first + i], None, None, None, None, s.text(i).decode("utf-8", "replace"), keys[s.first + i]))
                     else:
                         n = int(w.first[i + 1] - w.first[i])
-                        rows.append((ids[s.first + i], n, 0, 0, _join(w, i, None), None))
+                        rows.append((ids[s.first + i], n, 0, 0, _join(w, i, None), None, keys[s.first + i]))
                 yield batch_of(rows, result)
 
     def judge(batches):
@@ -155,7 +151,8 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
                 keep = np.zeros(len(w.hash) + 1, bool)
                 for i in range(s.rows):
                     for at in lists[s.first + i] or ():
-                        keep[w.first[i] + np.frombuffer(at, np.int32)] = True
+                        at = w.first[i] + np.frombuffer(at, np.int32)
+                        keep[at[at < w.first[i + 1]]] = True
                 again = begin[~keep[begin]]
                 change = np.zeros(len(w.hash) + 1, np.int32)
                 np.add.at(change, again, 1)
@@ -165,13 +162,13 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
                 rows = []
                 for i in range(s.rows):
                     a, b = w.first[i], w.first[i + 1]
-                    rows.append((ids[s.first + i], int(b - a), int(gone[a:b].sum()), int(opens[a:b].sum()), _join(w, i, gone), None))
+                    rows.append((ids[s.first + i], int(b - a), int(gone[a:b].sum()), int(opens[a:b].sum()), _join(w, i, gone), None, None))
                 yield batch_of(rows, result)
 
-    result_names = ["doc_id", "n_words", "n_removed", "n_spans", "text", "source"]
+    result_names = ["doc_id", "n_words", "n_removed", "n_spans", "text", "source", "key"]
     waiting = docs.mapInArrow(triage, result)
-    joined = waiting.join(earliest, F.col("source").isNotNull() & F.coalesce("doc_id", F.lit(-(1 << 63))).eqNullSafe(F.col("first_doc")), "left")
-    return joined.drop("first_doc").mapInArrow(judge, result).drop("source")
+    joined = waiting.join(earliest, F.col("key") == F.col("first_doc"), "left")
+    return joined.drop("first_doc").mapInArrow(judge, result).drop("source", "key")
 
 
 def _join(w: _Words, i: int, gone) -> str:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.llm.repeats import repeat_filter
-from evgraph.llm.shared import batch_of, bucket_bits, text_bytes
+from evgraph.llm.shared import batch_of, bucket_bits, doc_key, text_bytes
 from evgraph.llm.text import U64, Slice, slices
 
 GRAM = 8
@@ -252,11 +252,11 @@ def suffix_dedup(docs: DataFrame, length: int = 200, reach: int = 96, whole_char
     docs: doc_id long, text string; other columns are ignored but for those named in keep, which come back after the others.
     whole_characters: characters that lose a byte are removed, so that what is kept is UTF-8. reach (at most length - GRAM): how far into a window its anchor may
     lie. Returns doc_id, n_bytes long, n_removed long, n_spans long (maximal removed runs), kept binary (the remaining bytes).
-    A null text counts as empty; texts shorter than length lose nothing. Texts are whole; strings never cross documents. A null
-    doc_id orders before all others. Rows that repeat a doc_id and its text count as one document and get the same result.
+    A null text counts as empty; texts shorter than length lose nothing. Texts are whole; strings never cross documents. Rows
+    that repeat a doc_id and its text count as one document and get the same result; so do rows without a doc_id that have equal texts.
     """
     doc_id, rest = F.col("doc_id").cast("long"), F.struct(F.lit(0).alias("none"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)))
-    docs = docs.select(F.coalesce(doc_id, F.lit(-(1 << 63))).alias("key"), doc_id.alias("doc_id"), "text", rest.alias("rest"))
+    docs = docs.select(doc_key().alias("key"), doc_id.alias("doc_id"), "text", rest.alias("rest"))
     sc = docs.sparkSession.sparkContext
     total = text_bytes(docs)
     near = length - reach + 1
@@ -337,8 +337,10 @@ def suffix_dedup(docs: DataFrame, length: int = 200, reach: int = 96, whole_char
                         rows.append((ids[s.first + i], len(text), 0, 0, text.tobytes()))
                         continue
                     change = np.zeros(len(text) + 1, np.int32)
-                    np.add.at(change, found.values.field("first").to_numpy(), 1)
-                    np.add.at(change, found.values.field("last").to_numpy() + length, -1)
+                    first, end = found.values.field("first").to_numpy(), found.values.field("last").to_numpy() + length
+                    inside = end <= len(text)  # else another text has the same doc_id
+                    np.add.at(change, first[inside], 1)
+                    np.add.at(change, end[inside], -1)
                     gone = np.cumsum(change[:-1]) > 0
                     if whole_characters:
                         character = np.cumsum((text & 0xC0) != 0x80)
