@@ -61,7 +61,9 @@ class Bpe:
 
     def full(self, text: bytes) -> np.ndarray:
         """Ids of a text in which special tokens count."""
-        return self._code.encode_to_numpy(text.decode("utf-8", "replace"), allowed_special="all").astype(self.kind) if text else np.zeros(0, self.kind)
+        if not self.has_special(text):
+            return self.plain(text)
+        return self._code.encode_to_numpy(text.decode("utf-8", "replace"), allowed_special="all").astype(self.kind)
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -124,6 +126,11 @@ def join_chunks(code: Bpe, texts: list[bytes], cores: list[tuple[int, int, np.nd
     return np.concatenate(out)
 
 
+def code_marks(path: str, text: bytes) -> bool:
+    """True if the text holds a special token; such texts are encoded whole."""
+    return bpe(path).has_special(text)
+
+
 def text_key(text: bytes) -> str:
     return hashlib.blake2b(text, digest_size=16).hexdigest()
 
@@ -172,64 +179,69 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
         .mapInArrow(encode_once, "h1 long, h2 long, core binary")
     )
 
-    result = "doc_id long, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string, text string, text_key string"
+    encoded = "ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    def finished(code: Bpe, doc_id, ids: np.ndarray) -> tuple:
+    def finished(code: Bpe, name, ids: np.ndarray) -> tuple:
         digest = hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()
-        return doc_id, ids.tobytes(), len(ids), digest, hashlib.sha256(code.decode(ids).encode()).hexdigest(), None, None
+        return name, ids.tobytes(), len(ids), digest, hashlib.sha256(code.decode(ids).encode()).hexdigest()
+
+    def holes_of(s: Slice) -> tuple:
+        """Chunks of a slice, their hashes, and for each document whether it waits for a shared chunk."""
+        a, b, doc = chunk_edges(s)
+        h = s.byte_hash(s.byte_prefix(), a, b)
+        hole = shared.value.holds(h)
+        waits = np.zeros(s.rows, bool)
+        waits[doc[hole]] = True
+        for i in np.flatnonzero(waits):
+            waits[i] = not code_marks(path, s.text(i))
+        return a, b, doc, h, hole & waits[doc], waits
 
     def in_place(batches) -> Iterator[pa.RecordBatch]:
-        """Documents without a shared chunk are done; the others name the chunks that they wait for."""
+        """The ids of documents that share no chunk."""
         code = bpe(path)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for s in slices(batch.column("text")):
-                a, b, doc = chunk_edges(s)
-                h = s.byte_hash(s.byte_prefix(), a, b)
-                hole = shared.value.holds(h)
-                cut = np.searchsorted(doc, np.arange(s.rows + 1))
-                rows = []
-                for i in range(s.rows):
-                    text, x, y = s.text(i), cut[i], cut[i + 1]
-                    if code.has_special(text):
-                        rows.append(finished(code, ids[s.first + i], code.full(text)))
-                    elif hole[x:y].any():
-                        rows.append((ids[s.first + i], None, None, None, None, text.decode("utf-8", "replace"), text_key(text)))
-                    else:
-                        rows.append(finished(code, ids[s.first + i], code.plain(text)))
-                yield batch_of(rows, result)
+                waits = holes_of(s)[-1]
+                yield batch_of([finished(code, ids[s.first + i], code.full(s.text(i))) for i in np.flatnonzero(~waits)], f"doc_id long, {encoded}")
+
+    def waiting(batches) -> Iterator[pa.RecordBatch]:
+        """The other documents, by the key of their text."""
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            for s in slices(batch.column("text")):
+                yield batch_of([(ids[s.first + i], text_key(s.text(i))) for i in np.flatnonzero(holes_of(s)[-1])], "doc_id long, key string")
+
+    def distinct_texts(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in slices(batch.column("text")):
+                texts = {text_key(t): t.decode("utf-8", "replace") for i in np.flatnonzero(holes_of(s)[-1]) for t in (s.text(i),)}
+                yield batch_of(list(texts.items()), "key string, text string")
 
     def asked(batches) -> Iterator[pa.RecordBatch]:
-        """The chunks that each text waits for, without any encoding."""
+        """The shared chunks of each distinct text, with their places."""
         for batch in batches:
             for s in slices(batch.column("text")):
-                a, b, doc = chunk_edges(s)
-                h = s.byte_hash(s.byte_prefix(), a, b)
-                hole = np.flatnonzero(shared.value.holds(h))
-                if not len(hole):
+                a, b, doc, h, hole, _ = holes_of(s)
+                at = np.flatnonzero(hole)
+                if not len(at):
                     continue
-                g = s.byte_hash(s.byte_prefix(1), a[hole], b[hole], 1)
-                keys = {int(i): text_key(s.text(i)) for i in np.unique(doc[hole])}
-                at = hole - np.searchsorted(doc, doc[hole])
-                columns = [pa.array([keys[int(i)] for i in doc[hole]]), pa.array(at.astype(np.int32)), pa.array(h[hole].view(np.int64)), pa.array(g.view(np.int64))]
+                g = s.byte_hash(s.byte_prefix(1), a[at], b[at], 1)
+                keys = {int(i): text_key(s.text(i)) for i in np.unique(doc[at])}
+                places = at - np.searchsorted(doc, doc[at])
+                columns = [pa.array([keys[int(i)] for i in doc[at]]), pa.array(places.astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array(g.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "at", "h1", "h2"])
 
     def joined(batches) -> Iterator[pa.RecordBatch]:
         code = bpe(path)
         for batch in batches:
-            done = batch.column("text").is_null()
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            if done.true_count:
-                yield batch.filter(done).select(names)
-            parts = batch.column("parts").to_pylist()
-            for s in slices(texts):
+            keys, parts = batch.column("key").to_pylist(), batch.column("parts")
+            for s in slices(batch.column("text")):
                 a, b, doc = chunk_edges(s)
                 cut = np.searchsorted(doc, np.arange(s.rows + 1))
                 rows = []
                 for i in range(s.rows):
-                    if done[s.first + i].as_py():
-                        continue
-                    known = {p["at"]: p["core"] for p in parts[s.first + i]}
+                    known = {p["at"]: p["core"] for p in parts[s.first + i].as_py()}
                     chunks = [s.data[x:y].tobytes() for x, y in zip(a[cut[i] : cut[i + 1]], b[cut[i] : cut[i + 1]], strict=True)]
                     cores = []
                     for k, chunk in enumerate(chunks):
@@ -238,15 +250,16 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
                         else:
                             x, y = np.frombuffer(got, np.int64, 2)
                             cores.append((int(x), int(y), np.frombuffer(got, code.kind, offset=16)))
-                    rows.append(finished(code, ids[s.first + i], join_chunks(code, chunks, cores)))
-                if rows:
-                    yield batch_of(rows, result)
+                    rows.append(finished(code, keys[s.first + i], join_chunks(code, chunks, cores)))
+                yield batch_of(rows, f"key string, {encoded}")
 
-    names = [x.split()[0] for x in result.split(", ")]
     holes = docs.mapInArrow(asked, "key string, at int, h1 long, h2 long").dropDuplicates(["key", "at"])
     parts = holes.join(lexicon, ["h1", "h2"]).groupBy("key").agg(F.collect_list(F.struct("at", "core")).alias("parts"))
-    first = docs.mapInArrow(in_place, result)
-    return first.join(parts, first["text_key"] == parts["key"], "left").drop("key").mapInArrow(joined, result).drop("text", "text_key")
+    texts = docs.mapInArrow(distinct_texts, "key string, text string").groupBy("key").agg(F.min("text").alias("text"))
+    # copies of a text are encoded once, and only their keys meet the result
+    done = texts.join(parts, "key").mapInArrow(joined, f"key string, {encoded}")
+    later = docs.mapInArrow(waiting, "doc_id long, key string").join(done, "key").drop("key")
+    return docs.mapInArrow(in_place, f"doc_id long, {encoded}").unionByName(later)
 
 
 def op9_bpe_chunks(spark, sf_dir: str) -> DataFrame:
