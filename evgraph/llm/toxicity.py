@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 8  # words
 _BREAKS = bytes.maketrans(b".,;:!?\"()[]{}*#$%&|<>~_=+/\\", b" " * 27)
-LEARN = 8000  # labelled documents that are used at most: the bound of what the driver holds
+LEARN = 5000  # labelled documents that are used at most: the bound of what the driver holds
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,7 +55,7 @@ def _segments(words: list[bytes], most: int) -> bytes:
     return b" " + b"".join(w + b" " for w in reversed(out))
 
 
-def train_dictionaries(rows: list[tuple[str, int]], base_bytes: int = 12_000, toxic_bytes: int = 4_000) -> tuple[bytes, bytes]:
+def train_dictionaries(rows: Iterable[tuple[str, int]], base_bytes: int = 12_000, toxic_bytes: int = 4_000) -> tuple[bytes, bytes]:
     """Contents of the toxic and the ordinary dictionary, from (text, toxic) rows.
 
     A toxic segment is a word with a border gram whose share of toxic documents exceeds that of ordinary ones at eight standard
@@ -63,22 +63,27 @@ def train_dictionaries(rows: list[tuple[str, int]], base_bytes: int = 12_000, to
     """
     seen = (Counter(), Counter())
     total = [0, 0]
-    for text, toxic in {(r[0] or "", r[1]): r for r in rows}.values():  # equal texts teach once
+    known = set()
+    for text, toxic in rows:
+        if (one := hash((text, toxic))) in known:  # equal texts teach once
+            continue
+        known.add(one)
         seen[toxic].update(set(tokens(text)))
         total[toxic] += 1
     if not all(total):
         return b"", b""
     grams = (Counter(), Counter())
-    for toxic in (0, 1):
-        for word, n in seen[toxic].items():
-            for g in _grams(word):
-                grams[toxic][g] += n
+    for word, n in seen[1].items():
+        for g in _grams(word):
+            grams[1][g] += n
+    common_grams = {g for g, n in grams[1].items() if n >= max(4, total[1] // 50)}
+    for word, n in seen[0].items():
+        for g in _grams(word) & common_grams:
+            grams[0][g] += n
     strict = min(8.0, 3.0 + math.sqrt(total[1]) / 4)
     strong = set()
-    for g, n in grams[1].items():
-        if n < max(4, total[1] // 50):
-            continue
-        p1, p0 = min(1.0, n / total[1]), min(1.0, grams[0][g] / total[0])
+    for g in common_grams:
+        p1, p0 = min(1.0, grams[1][g] / total[1]), min(1.0, grams[0][g] / total[0])
         p = (p1 * total[1] + p0 * total[0]) / sum(total)
         error = math.sqrt(max(p * (1 - p), 1e-9) * (1 / total[0] + 1 / total[1]))
         if (p1 - p0) / error > strict and p1 > 12 * (p0 + 0.1 / total[0]):
@@ -135,12 +140,21 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN) -> tuple[bytes,
 
     Two thirds train the dictionaries, the rest the calibration.
     """
-    known = docs.join(labels.select("doc_id", "toxic").filter("toxic in (0, 1)").dropDuplicates(["doc_id"]), "doc_id").filter(~held_out(F.col("doc_id")))
-    rows = known.orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("doc_id", "text", "toxic").limit(most).toArrow().to_pylist()
-    third = [zlib.crc32(f"calibration {r['doc_id']}".encode()) % 3 == 0 for r in rows]
-    toxic, ordinary = train_dictionaries([(r["text"], int(r["toxic"])) for r, t in zip(rows, third, strict=True) if not t])
+    marked = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
+    marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    # at most `most` rows go to all tasks, so no text is shuffled
+    known = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
+    rows = known.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).toArrow()
+    third = [zlib.crc32(f"calibration {i}".encode()) % 3 == 0 for i in rows["doc_id"].to_pylist()]
+
+    def part(calibrates: bool) -> Iterator[tuple[str, int]]:
+        for i, t in enumerate(third):
+            if t == calibrates:
+                yield rows["text"][i].as_py(), int(rows["toxic"][i].as_py())
+
+    toxic, ordinary = train_dictionaries(part(False))
     distance = Distance(toxic, ordinary)
-    rest = [(distance(r["text"]), int(r["toxic"])) for r, t in zip(rows, third, strict=True) if t]
+    rest = [(distance(text), y) for text, y in part(True)]
     if len({y for _, y in rest}) < 2:
         return toxic, ordinary, [-3.0, 0.5, 0.0, 0.0]
     weights = calibrate(np.array([x for x, _ in rest]), np.array([y for _, y in rest]))
