@@ -16,6 +16,8 @@ from evgraph.llm.shared import store
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+# a rule votes bad on so much of good text at most, and of bad text at least
+GOOD_MOST, BAD_LEAST = 0.002, 0.04
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -94,32 +96,34 @@ def votes() -> dict[str, Column]:
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[dict[int, float]]]:
-    """Prior log-odds of good text and, for each rule, the log-odds that each vote adds.
+    """Prior log-odds of good text and, for each rule, the log-odds that its votes add.
 
-    Expectation-maximisation of a two-class model whose rules vote independently within a class. It starts from text
-    without a bad vote as good; one pseudo-document for each vote smooths the estimates.
+    Expectation-maximisation of a two-class model: given its class, each rule that votes does so independently of the others, and
+    abstaining tells nothing. Junk of one kind sets off one rule and not the others, so the start matters: documents without a
+    bad vote begin as good with probability 0.98, others with 0.05. Estimates are smoothed by one document, and no rule is taken for
+    worse than GOOD_MOST and BAD_LEAST say; else the largest kind of junk would become the normal text of a class.
     """
     if not patterns:
         return 0.0, []
     rules = range(len(patterns[0][0]))
-    good = [0.9 if min(p) >= 0 else 0.9 * 0.25 ** sum(v < 0 for v in p) for p, _ in patterns]
+    good = [0.98 if min(p) >= 0 else 0.05 for p, _ in patterns]
     prior, adds = 0.0, [dict.fromkeys((-1, 0, 1), 0.0) for _ in rules]
     for _ in range(rounds):
-        mass = [[1.0, 1.0] for _ in rules]
-        seen = [{v: [1.0, 1.0] for v in (-1, 0, 1)} for _ in rules]
-        all_good = sum(g * n for g, (_, n) in zip(good, patterns, strict=True))
-        total = sum(n for _, n in patterns)
-        for g, (p, n) in zip(good, patterns, strict=True):
-            for r in rules:
-                seen[r][p[r]][0] += g * n
-                seen[r][p[r]][1] += (1 - g) * n
-        mass = [all_good + 3, total - all_good + 3]
+        total, all_good = sum(n for _, n in patterns), sum(g * n for g, (_, n) in zip(good, patterns, strict=True))
         prior = math.log((all_good + 1) / (total - all_good + 1))
-        adds = [{v: math.log(seen[r][v][0] / mass[0]) - math.log(seen[r][v][1] / mass[1]) for v in (-1, 0, 1)} for r in rules]
+        for r in rules:
+            bad_votes, votes_ = [1.0, 1.0], [2.0, 2.0]  # on good and on bad text
+            for g, (p, n) in zip(good, patterns, strict=True):
+                if p[r]:
+                    for k, share in enumerate((g * n, (1 - g) * n)):
+                        votes_[k] += share
+                        bad_votes[k] += share * (p[r] < 0)
+            on_good = min(GOOD_MOST, max(1e-4, bad_votes[0] / votes_[0]))
+            on_bad = min(0.999, max(BAD_LEAST, bad_votes[1] / votes_[1]))
+            adds[r] = {-1: math.log(on_good / on_bad), 0: 0.0, 1: math.log((1 - on_good) / (1 - on_bad))}
         odds = [prior + sum(adds[r][p[r]] for r in rules) for p, _ in patterns]
         good = [1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) for x in odds]
-    # a bad vote is never taken as a sign of good text, nor the reverse
-    return prior, [{-1: min(0.0, a[-1]), 0: a[0], 1: max(0.0, a[1])} for a in adds]
+    return prior, adds
 
 
 def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
