@@ -1,0 +1 @@
+"""Empty: the inventory has no operator on unbounded data."""
