@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evgraph.llm.shared import firsts, store
+from evgraph.llm.shared import firsts, hashed_sample, store
 
 SAMPLE = 20_000  # vectors that fit the lists at most
 MOST_LISTS = 4096
@@ -158,7 +158,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int
     # of equal vectors only the k + 1 smallest ids can be returned, also to a query that is one of them
     order = Window.partitionBy("v").orderBy("vec_id")
     rows = rows.withColumn("copy", F.row_number().over(order)).filter(F.col("copy") <= k + 1).drop("copy")
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(min(SAMPLE, max(1000, 8 * math.isqrt(total)))).toArrow()
+    chosen = hashed_sample(rows.select("vec_id", "v"), "vec_id", total, min(SAMPLE, max(1000, 8 * math.isqrt(total)))).toArrow()
     sample = _matrix(chosen["v"], dim)
     fitted = fit(sample, longest, total)
     lists = len(fitted.centres)

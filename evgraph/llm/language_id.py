@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evgraph.llm.shared import hashed_sample
+
 BITS = 15
 LEARN = 3000  # documents that fit weights and temperature at most: the bound of what the driver holds
 BLOCKS = 32  # parts in which the document frequencies are summed
@@ -139,7 +141,7 @@ def learn(docs: DataFrame, bits: int = BITS, most: int = LEARN) -> Model:
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     df, n = document_frequencies(known, bits)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "lang").limit(most).toArrow().to_pylist()
+    sample = hashed_sample(known.select("doc_id", "text", "lang"), "doc_id", n, most).toArrow().to_pylist()
     languages = sorted({r["lang"] for r in sample})
     rows = [(*vector(r["text"], idf, bits), languages.index(r["lang"])) for r in sample]
     rest = [r for i, r in enumerate(rows) if i % 4 == 3]

@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evgraph.llm.shared import hashed_sample
+
 
 WINDOW = 8  # words
 _BREAKS = bytes.maketrans(b".,;:!?\"()[]{}*#$%&|<>~_=+/\\", b" " * 27)
@@ -141,7 +143,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN) -> tuple[bytes,
     Two thirds train the dictionaries, the rest the calibration.
     """
     marked = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
-    marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    marked = hashed_sample(marked, "doc_id", labels.count(), most)
     # at most `most` rows go to all tasks, so no text is shuffled
     known = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
     rows = known.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).toArrow()
