@@ -95,13 +95,13 @@ def votes() -> dict[str, Column]:
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[dict[int, float]]]:
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, good_most: float = GOOD_MOST, bad_least: float = BAD_LEAST) -> tuple[float, list[dict[int, float]]]:
     """Prior log-odds of good text and, for each rule, the log-odds that its votes add.
 
     Expectation-maximisation of a two-class model: given its class, each rule that votes does so independently of the others, and
     abstaining tells nothing. Junk of one kind sets off one rule and not the others, so the start matters: documents without a
     bad vote begin as good with probability 0.98, others with 0.05. Estimates are smoothed by one document, and no rule is taken for
-    worse than GOOD_MOST and BAD_LEAST say; else the largest kind of junk would become the normal text of a class.
+    worse than good_most and bad_least say; else the largest kind of junk would become the normal text of a class.
     """
     if not patterns:
         return 0.0, []
@@ -118,8 +118,8 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[
                     for k, share in enumerate((g * n, (1 - g) * n)):
                         votes_[k] += share
                         bad_votes[k] += share * (p[r] < 0)
-            on_good = min(GOOD_MOST, max(1e-4, bad_votes[0] / votes_[0]))
-            on_bad = min(0.999, max(BAD_LEAST, bad_votes[1] / votes_[1]))
+            on_good = min(good_most, max(1e-4, bad_votes[0] / votes_[0]))
+            on_bad = min(0.999, max(bad_least, bad_votes[1] / votes_[1]))
             adds[r] = {-1: math.log(on_good / on_bad), 0: 0.0, 1: math.log((1 - on_good) / (1 - on_bad))}
         odds = [prior + sum(adds[r][p[r]] for r in rules) for p, _ in patterns]
         good = [1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) for x in odds]
