@@ -123,7 +123,7 @@ def repeat_filter(
     then only hashes with such an occurrence count. hot_from: hashes that come from so many
     tasks' runs or more are listed exactly in hot; there are at most (all hashes / hot_from).
     """
-    bits = int(min(max_bits, max(16, np.ceil(np.log2(max(2, total_bytes))))))
+    bits = int(min(max_bits, max(16, np.ceil(np.log2(max(2, total_bytes / 8))))))
     bucket = min(bucket_bits(total_bytes), bits - 8)
 
     def runs(batches):
@@ -142,16 +142,16 @@ def repeat_filter(
         if n:
             yield from _runs(hs, fs, bucket)
 
-    rows = (
+    found = (
         docs.select("text")
         .mapInArrow(runs, "bucket int, n int, deltas binary, multi binary, flag binary")
         .groupBy("bucket")
         .applyInArrow(_page(bucket, bits, flagged, hot_from), "bucket int, page binary, hot binary")
-        .collect()
+        .toArrow()
     )
     size = 1 << (bits - bucket - 3)
     pages = bytearray(size << bucket)
-    for r in rows:
-        pages[r.bucket * size : (r.bucket + 1) * size] = r.page
-    hot = np.frombuffer(b"".join(bytes(r.hot) for r in rows), U64)
+    for b, page in zip(found["bucket"].to_pylist(), found["page"], strict=True):
+        pages[b * size : (b + 1) * size] = page.as_buffer()
+    hot = np.frombuffer(b"".join(found["hot"].to_pylist()), U64)
     return RepeatFilter(bits, bucket, bytes(pages), np.sort(hot))

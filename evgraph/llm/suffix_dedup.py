@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.llm.repeats import repeat_filter
-from evgraph.llm.shared import batch_of, bucket_bits, doc_key, text_bytes
+from evgraph.llm.shared import batch_of, bucket_bits, doc_key, hashed_sample, text_bytes
 from evgraph.llm.text import U64, Slice, slices
 
 GRAM = 8
-FLUSH = 1 << 17  # suffixes of a run
+FLUSH = 1 << 16  # suffixes of a run
 HOT_RUNS = 256  # from so many runs on, a suffix group is dealt window by window
 SAMPLE_DOCS = 400
 _RUN = pa.schema([("bucket", pa.int32()), ("run", pa.binary())])
@@ -268,7 +268,8 @@ def suffix_dedup(docs: DataFrame, length: int = 200, reach: int = 96, whole_char
     filter_ = sc.broadcast(repeat_filter(docs.select("text"), near_hashes, total, hot_from=HOT_RUNS))
 
     # range borders only balance the exchange; they come from the anchors of a bounded sample
-    sample = docs.orderBy(F.xxhash64("key")).select(F.substring("text", 1, 20_000).alias("text")).limit(SAMPLE_DOCS).toArrow()["text"].combine_chunks()
+    pieces = docs.select("key", F.substring("text", 1, 20_000).alias("text"))
+    sample = hashed_sample(pieces, "key", docs.count(), SAMPLE_DOCS).toArrow()["text"].combine_chunks()
     heads = sorted(s.data[a : a + near].tobytes() for s in slices(sample) for a in anchors(s, length, reach)[0].tolist())
     ranges = 1 << bucket_bits(total)
     borders = sc.broadcast(sorted({heads[i * len(heads) // ranges][:24] for i in range(1, ranges)}) if heads else [])

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = (1 << 20) - 64  # the tables of powers for a slice then have 2**20 entries
 # odd multipliers of the two independent polynomial hashes, for bytes and for words
 _BASES = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 
