@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.llm.repeats import repeat_filter
-from evgraph.llm.shared import batch_of, text_bytes
+from evgraph.llm.shared import batch_of, store, text_bytes
 from evgraph.llm.text import U64, Slice, slices
 
 # fixed value: how byte-level pre-tokenisation splits text
@@ -84,12 +84,17 @@ def chunk_edges(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         high = np.lib.stride_tricks.as_strided(padded[8:], (n - ROLL + 1, 8), (1, 1)).copy().view(U64).ravel()
         roll = (low * U64(0x9E3779B97F4A7C15) ^ high) * U64(0xD6E8FEB86659FD93)
         cuts = np.flatnonzero((roll >> U64(40)) % U64(MEAN) == 0) + ROLL
-        cuts = cuts[np.diff(cuts, prepend=-LEAST) >= LEAST]
+        # only what lies in a document decides on its chunks, whatever its neighbours in the slice are
+        doc = s.doc_of(cuts - 1)
+        inside = cuts - ROLL >= s.offsets[doc]
+        cuts, doc = cuts[inside], doc[inside]
+        far = np.ones(len(cuts), bool)
+        far[1:] = (np.diff(cuts) >= LEAST) | (doc[1:] != doc[:-1])
+        cuts, doc = cuts[far], doc[far]
         for _ in range(3):
-            inside = (cuts < n) & ((d[np.minimum(cuts, n - 1)] & 0xC0) == 0x80)
-            cuts = cuts + inside
-    inner = s.offsets[np.searchsorted(s.offsets, cuts, "right") - 1] + ROLL <= cuts
-    starts = np.unique(np.concatenate([cuts[inner & (cuts < n)], s.offsets[:-1][np.diff(s.offsets) > 0]]))
+            cuts = cuts + ((cuts < n) & ((d[np.minimum(cuts, n - 1)] & 0xC0) == 0x80))
+        cuts = cuts[cuts < s.offsets[doc + 1]]
+    starts = np.unique(np.concatenate([cuts, s.offsets[:-1][np.diff(s.offsets) > 0]]))
     ends = np.r_[starts[1:], n] if len(starts) else starts
     return starts, ends, s.doc_of(starts)
 
@@ -206,30 +211,28 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
                 yield batch_of([finished(code, ids[s.first + i], code.full(s.text(i))) for i in np.flatnonzero(~waits)], f"doc_id long, {encoded}")
 
     def waiting(batches) -> Iterator[pa.RecordBatch]:
-        """The other documents, by the key of their text."""
+        """The other documents with the key of their text, and the text itself once in a slice."""
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for s in slices(batch.column("text")):
-                yield batch_of([(ids[s.first + i], text_key(s.text(i))) for i in np.flatnonzero(holes_of(s)[-1])], "doc_id long, key string")
-
-    def distinct_texts(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in slices(batch.column("text")):
-                texts = {text_key(t): t.decode("utf-8", "replace") for i in np.flatnonzero(holes_of(s)[-1]) for t in (s.text(i),)}
-                yield batch_of(list(texts.items()), "key string, text string")
+                rows, seen = [], set()
+                for i in np.flatnonzero(holes_of(s)[-1]):
+                    text = s.text(i)
+                    key = text_key(text)
+                    rows.append((ids[s.first + i], key, None if key in seen else text.decode("utf-8", "replace")))
+                    seen.add(key)
+                yield batch_of(rows, "doc_id long, key string, text string")
 
     def asked(batches) -> Iterator[pa.RecordBatch]:
-        """The shared chunks of each distinct text, with their places."""
+        """The shared chunks of each waiting text, with their places."""
         for batch in batches:
+            keys = batch.column("key").to_pylist()
             for s in slices(batch.column("text")):
                 a, b, doc, h, hole, _ = holes_of(s)
                 at = np.flatnonzero(hole)
-                if not len(at):
-                    continue
                 g = s.byte_hash(s.byte_prefix(1), a[at], b[at], 1)
-                keys = {int(i): text_key(s.text(i)) for i in np.unique(doc[at])}
                 places = at - np.searchsorted(doc, doc[at])
-                columns = [pa.array([keys[int(i)] for i in doc[at]]), pa.array(places.astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array(g.view(np.int64))]
+                columns = [pa.array([keys[s.first + i] for i in doc[at]], pa.string()), pa.array(places.astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array(g.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "at", "h1", "h2"])
 
     def joined(batches) -> Iterator[pa.RecordBatch]:
@@ -241,7 +244,7 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
                 cut = np.searchsorted(doc, np.arange(s.rows + 1))
                 rows = []
                 for i in range(s.rows):
-                    known = {p["at"]: p["core"] for p in parts[s.first + i].as_py()}
+                    known = {p["at"]: p["core"] for p in parts[s.first + i].as_py() or ()}
                     chunks = [s.data[x:y].tobytes() for x, y in zip(a[cut[i] : cut[i + 1]], b[cut[i] : cut[i + 1]], strict=True)]
                     cores = []
                     for k, chunk in enumerate(chunks):
@@ -253,12 +256,14 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
                     rows.append(finished(code, keys[s.first + i], join_chunks(code, chunks, cores)))
                 yield batch_of(rows, f"key string, {encoded}")
 
-    holes = docs.mapInArrow(asked, "key string, at int, h1 long, h2 long").dropDuplicates(["key", "at"])
+    waits = store(docs.mapInArrow(waiting, "doc_id long, key string, text string"), "waiting")
+    texts = waits.filter("text is not null").select("key", "text")
+    holes = texts.mapInArrow(asked, "key string, at int, h1 long, h2 long").dropDuplicates(["key", "at"])
     parts = holes.join(lexicon, ["h1", "h2"]).groupBy("key").agg(F.collect_list(F.struct("at", "core")).alias("parts"))
-    texts = docs.mapInArrow(distinct_texts, "key string, text string").groupBy("key").agg(F.min("text").alias("text"))
+    texts = texts.groupBy("key").agg(F.min("text").alias("text"))
     # copies of a text are encoded once, and only their keys meet the result
-    done = texts.join(parts, "key").mapInArrow(joined, f"key string, {encoded}")
-    later = docs.mapInArrow(waiting, "doc_id long, key string").join(done, "key").drop("key")
+    done = texts.join(parts, "key", "left").mapInArrow(joined, f"key string, {encoded}")
+    later = waits.select("doc_id", "key").join(done, "key").drop("key")
     return docs.mapInArrow(in_place, f"doc_id long, {encoded}").unionByName(later)
 
 
