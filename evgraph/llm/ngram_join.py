@@ -156,11 +156,13 @@ def _passing_links(percent: int):
         a = Tile(sizes[one], [maps[i] for i in one])
         same = table["one"][0].as_py() == table["two"][0].as_py()
         b = a if same else Tile(sizes[two], [maps[i] for i in two])
+        two = one if same else two
         for i, js in passing(a, b, percent, same):
-            for j in js:
-                if classes.join(one[i], (one if same else two)[j]):
+            js = two[js]
+            for j in js[classes.roots(js) != classes.root(one[i])].tolist():
+                if classes.join(one[i], j):
                     out_u.append(ids[one[i]])
-                    out_v.append(ids[(one if same else two)[j]])
+                    out_v.append(ids[j])
         return pa.table([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], names=["u", "v"])
 
     return links
@@ -283,3 +285,13 @@ def stand_heads(alone: DataFrame) -> DataFrame:
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
     return ngram_jaccard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+both_sides AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM shingles a JOIN shingles b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM both_sides JOIN sizes s ON x = s.doc_id JOIN sizes t ON y = t.doc_id WHERE 100 * m >= 80 * (s.n + t.n - m)),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least_id AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(y, w.doc_id)) AS component_id FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN least_id ON w.doc_id = x"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from evgraph.llm import ngram_join, substring_dedup
 from evgraph.llm.adaptive_scan import op3_adaptive_scan
 from evgraph.llm.bpe_chunks import op9_bpe_chunks
 from evgraph.llm.language_id import op1_language_id
@@ -30,4 +31,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express the rows; tests hold the other operators against brute force."""
+    return {"op7_substring_dedup": substring_dedup.ORACLE, "op8_ngram_join": ngram_join.ORACLE}

@@ -3,7 +3,7 @@
 The corpus is indexed by its non-overlapping blocks of ``window // 2`` words; every rolling
 window of that length probes the index. Any run of ``window`` words that occurred before holds
 one whole block of its earlier copy, so a probe hits inside it. Hits are extended to both sides to
-windows of ``window`` words, compared by 128-bit hashes, and windows that overlap join to maximal
+windows of ``window`` words, compared by 96 bits of hashes, and windows that overlap join to maximal
 exact repeats. The first occurrence of a window (smallest doc_id, then position) stays.
 """
 
@@ -48,7 +48,7 @@ class _Words:
 
     def windows(self, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
         second = word_hashes(self.s, self.starts, self.ends, 1)
-        return window_hashes(self.hash, at, window, 0), window_hashes(second, at, window, 1)
+        return window_hashes(self.hash, at, window, 0), (window_hashes(second, at, window, 1) >> U64(32)).astype(np.uint32)
 
 
 def _earliest(h1, h2, doc, at):
@@ -103,7 +103,7 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
         yield from deal((h1 >> U64(64 - bucket)).astype(np.int32), [h1, h2, doc, at], _DEALT)
 
     def first_places(table: pa.Table) -> pa.Table:
-        _, _, doc, at = _earliest(gather(table, "h1", U64), gather(table, "h2", U64), gather(table, "doc", np.int64), gather(table, "at", np.int32))
+        _, _, doc, at = _earliest(gather(table, "h1", U64), gather(table, "h2", np.uint32), gather(table, "doc", np.int64), gather(table, "at", np.int32))
         order = np.lexsort((at, doc))
         doc, at = doc[order], at[order]
         cut = np.flatnonzero(firsts(doc)) if len(doc) else np.zeros(0, np.int64)
@@ -183,3 +183,12 @@ def _join(w: _Words, i: int, gone) -> str:
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+again AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM again),
+words AS (SELECT doc_id, p, ws[p] AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
