@@ -209,7 +209,7 @@ def test_quality_fit_finds_the_reliable_rule():
         good = rng.random() < 0.8
         vote = lambda right: (1 if good else -1) if rng.random() < right else (-1 if good else 1)
         counts[(vote(0.97), vote(0.9), rng.choice((-1, 0, 1)))] += 1
-    _, adds = quality_rules.fit(sorted(counts.items()))
+    _, adds = quality_rules.fit(sorted(counts.items()), good_most=0.5)
     assert adds[0][1] - adds[0][-1] > adds[2][1] - adds[2][-1]
 
 
@@ -360,3 +360,24 @@ def test_pipeline_run(spark):
 
 def test_registry():
     assert [k.split("_")[0] for k in registry.queries()] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_chunks_depend_on_their_document_alone(docs, odd):
+    """The same text is cut alike alone and among others; else chunks asked for and chunks encoded differ."""
+    import pyarrow as pa
+
+    from evgraph.llm.text import slices
+
+    texts = [t or "" for _, t in rows_of(docs)] + [t or "" for _, t in rows_of(odd)]
+
+    def cut(batch, **limit):
+        out = []
+        for s in slices(pa.array(batch), **limit):
+            a, b, doc = bpe_chunks.chunk_edges(s)
+            for i in range(s.rows):
+                mine = doc == i
+                assert b"".join(s.data[x:y].tobytes() for x, y in zip(a[mine], b[mine], strict=True)) == s.text(i)
+                out.append([(x - s.offsets[i], y - s.offsets[i]) for x, y in zip(a[mine].tolist(), b[mine].tolist(), strict=True)])
+        return out
+
+    assert cut(texts) == cut(texts, limit=1) == cut(texts[::-1])[::-1]
