@@ -42,8 +42,9 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of the documents whose tokens meet the targets of sources, languages and topics."""
-    return mix(docs).filter("kept").select(docs.columns)
+    """A sample of the documents whose tokens meet the targets of sources, languages and topics; rare values may come in copies."""
+    mixed = mix(docs).filter("kept").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return mixed.select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Token counts of (source, language, topic) cells are raked until their marginals match the targets. Language and topic have few
 values, so their factors are short vectors on the driver; there may be any number of sources, so their factors stay in a table, and
-every round is one aggregation of it to a language by topic matrix. A cell's factor, scaled so that the expected tokens meet the
-budget and capped at one, is the probability with which each of its documents is kept.
+every round is one aggregation of it to a language by topic matrix. A cell's factor times the budget is the number of copies that
+each of its documents is expected to have in the sample. It may exceed one: whole copies are certain and the rest is drawn, so
+targets and budget hold for expected tokens however rare a value is.
 """
 
 from __future__ import annotations
@@ -61,26 +62,32 @@ def _factor(column: str, factors: dict) -> Column:
 
 
 class Mixture:
-    """Raked factors: of sources in a table (mix_source, a), of languages and topics in dicts; and the scale of the probabilities."""
+    """Raked factors: of sources in a table (mix_source, a), of languages and topics in dicts; and the copies per weight."""
 
     def __init__(self, sources: DataFrame, languages: dict, topics: dict, scale: float, gap: float):
         self.sources, self.languages, self.topics, self.scale, self.gap = sources, languages, topics, scale, gap
 
     def sample(self, described_docs: DataFrame, seed: int = 11) -> DataFrame:
-        """Adds weight (raked tokens per token), keep_p and kept; kept is decided by a hash of doc_id and text, so a rerun agrees."""
+        """Adds weight (raked tokens per token), keep_p (expected copies), copies and kept (any copy).
+
+        floor(keep_p) copies are certain; one more is drawn by a hash of doc_id and text, so a rerun agrees.
+        """
         docs = described_docs.join(self.sources, "mix_source", "left")
         weight = F.coalesce(F.col("a") * _factor("mix_lang", self.languages) * _factor("mix_topic", self.topics), F.lit(0.0))
         place = F.xxhash64(F.lit(seed), "doc_id", "text")
         u = F.shiftrightunsigned(place, 11).cast("double") / F.lit(float(1 << 53))
         docs = docs.withColumn("weight", weight).drop("a")
-        return docs.withColumn("keep_p", F.least(F.lit(1.0), F.col("weight") * self.scale)).withColumn("kept", u < F.col("keep_p"))
+        docs = docs.withColumn("keep_p", F.col("weight") * self.scale)
+        whole = F.floor("keep_p")
+        docs = docs.withColumn("copies", whole + (u < F.col("keep_p") - whole).cast("long"))
+        return docs.withColumn("kept", F.col("copies") > 0)
 
 
 def rake(cells: DataFrame, budget: float, source_power: float, lang_power: float, topic_power: float, rounds: int = 100, tolerance: float = 1e-6) -> Mixture:
     """Rake cells (mix_source, mix_lang, mix_topic, tokens) to targets in proportion to powers of the marginals.
 
     Rounds end when no language or topic is off by more than tolerance of all tokens (sources match exactly in each round), or
-    after `rounds`; gap tells how far the last was off. budget: the share of all tokens that sampling keeps in expectation.
+    after `rounds`; gap tells how far the last was off. budget: the tokens of the sample, copies included, as a share of all tokens.
     """
     by_source = cells.groupBy("mix_source").agg(F.sum("tokens").alias("n"), F.collect_list(F.struct("mix_lang", "mix_topic", "tokens")).alias("cells"))
     by_source = store(by_source, "mixture")
@@ -128,32 +135,18 @@ def rake(cells: DataFrame, budget: float, source_power: float, lang_power: float
                 s = sum(w * languages[g] for (g, k), w in m.items() if k == at)
                 topics[at] = topic_goal[at] * tokens / s if s else 0.0
     sources = store(by_source.select("mix_source", source_factors().alias("a")), "mixture-factors")
-    weighted = flat.join(sources, "mix_source").select(
-        F.col("tokens"), (F.col("a") * _factor("mix_lang", languages) * _factor("mix_topic", topics)).alias("f")
-    )
-    return Mixture(sources, languages, topics, _scale(weighted, budget * tokens), gap)
-
-
-def _scale(weighted: DataFrame, budget: float) -> float:
-    """The scale with sum(tokens * min(1, scale * f)) = budget: two passes over a grid of candidates, then interpolation."""
-    low, high = 2.0**-20, 2.0**40
-    for _ in range(3):
-        grid = [low * (high / low) ** (i / 63) for i in range(64)]
-        sums = weighted.agg(*(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("f") * x)).alias(f"s{i}") for i, x in enumerate(grid))).first()
-        at = next((i for i in range(64) if (sums[i] or 0.0) >= budget), 63)
-        low, high = grid[max(0, at - 1)], grid[at]
-        below, above = sums[max(0, at - 1)] or 0.0, sums[at] or 0.0
-    return high if above <= below else low + (high - low) * min(1.0, max(0.0, (budget - below) / (above - below)))
+    # the last step met the sources' targets, which add up to all tokens
+    return Mixture(sources, languages, topics, budget, gap)
 
 
 def mix(docs: DataFrame, budget: float = 0.7, source_power: float = 0.7, lang_power: float = 0.7, topic_power: float = 0.9) -> DataFrame:
-    """docs with mix_source, mix_lang, mix_topic, mix_tokens, weight, keep_p and kept.
+    """docs with mix_source, mix_lang, mix_topic, mix_tokens, weight, keep_p, copies and kept.
 
     docs: doc_id, text, lang, source and any other columns (columns of the names above are replaced). A null source or language is a value
-    of its own, `und`. Texts without words have no tokens: they weigh nothing in the margins, and are kept with the probability of
-    their cell (never, if no text with words shares it). Rows with equal doc_id and text share one fate. An empty table gives no rows.
+    of its own, `und`. Texts without words have no tokens: they weigh nothing in the margins, and get the expected copies of
+    their cell (none, if no text with words shares it). Rows with equal doc_id and text share one fate. An empty table gives no rows.
     """
-    clash = ["mix_source", "mix_lang", "mix_topic", "mix_tokens", "weight", "keep_p", "kept", "a"]
+    clash = ["mix_source", "mix_lang", "mix_topic", "mix_tokens", "weight", "keep_p", "copies", "kept", "a"]
     rows = described(docs.drop(*clash))
     # tasks add up their own cells before they send, so a hot source costs no more than others
     cells = rows.groupBy("mix_source", "mix_lang", "mix_topic").agg(F.sum("mix_tokens").alias("tokens"))
@@ -162,4 +155,4 @@ def mix(docs: DataFrame, budget: float = 0.7, source_power: float = 0.7, lang_po
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return mixed.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("weight", 6).alias("weight"), F.round("keep_p", 6).alias("keep_p"), "kept")
+    return mixed.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("weight", 6).alias("weight"), F.round("keep_p", 6).alias("keep_p"), "copies", "kept")
