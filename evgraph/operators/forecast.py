@@ -75,15 +75,18 @@ def leakage_audit(rows: DataFrame, follow_ups: list[str], splits: list[str]) ->
     return one.unpivot([], list(checks), "check", "violations").withColumn("passed", F.col("violations") == 0)
 
 
-def shared_entity_edges(units: DataFrame, low: int, high: int, k: int) -> DataFrame:
+def shared_entity_edges(units: DataFrame, low: int, high: int, k: int, block: int = 256) -> DataFrame:
     """Links of units that share an entity, weighted by 1 / ln(1 + degree) of each shared one; the k heaviest of each unit.
 
-    Entities with a degree outside of low to high are left out before the self-join, so no hub makes all its pairs.
+    Entities with a degree outside of low to high are left out before the self-join, so no hub makes all its pairs. The units of
+    a wide entity are dealt into blocks of about `block`, each joined to all of the entity's units, so no task makes all its pairs.
     """
     sides = units.select("unit_id", F.explode(F.array("entity_a", "entity_b")).alias("entity_id"))
     degree = sides.groupBy("entity_id").agg(F.count("*").alias("degree")).filter(F.col("degree").between(low, high))
-    kept = sides.join(degree, "entity_id").withColumn("w", 1 / F.log(1 + F.col("degree")))
-    pairs = kept.join(kept.select("entity_id", F.col("unit_id").alias("dst")), "entity_id").filter(F.col("unit_id") != F.col("dst"))
+    kept = sides.join(degree, "entity_id").withColumn("w", 1 / F.log(1 + F.col("degree"))).withColumn("blocks", F.ceil(F.col("degree") / block).cast("int"))
+    dealt = kept.withColumn("block", F.pmod(F.xxhash64("unit_id"), F.col("blocks").cast("long")).cast("int")).select("entity_id", "block", "unit_id", "w")
+    others = kept.select("entity_id", F.col("unit_id").alias("dst"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    pairs = dealt.join(others, ["entity_id", "block"]).filter(F.col("unit_id") != F.col("dst"))
     weighed = pairs.groupBy(F.col("unit_id").alias("src"), "dst").agg(F.round(F.sum("w"), 6).alias("edge_weight"), F.count("*").alias("shared"))
     order = Window.partitionBy("src").orderBy(F.desc("edge_weight"), F.desc("shared"), "dst")
     return weighed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).drop("place")

@@ -155,6 +155,17 @@ def neighbour_features(s, d):
     return forecast.neighbour_state(unit_edges(s, d), state, ["history_total", "recent_3"])
 
 
+def wide_unit_edges(s, d):
+    """The unit graph with the reference's bounds: entities of 2 to 2000 units, 100 neighbours."""
+    return forecast.shared_entity_edges(unit_master(s, d), 2, 2000, 100)
+
+
+def wide_neighbour_features(s, d):
+    """Neighbours' state in the wide unit graph at the cutoffs of all splits."""
+    state = _examples(s, d).select("unit_id", "cutoff", "history_total", "recent_3")
+    return forecast.neighbour_state(wide_unit_edges(s, d), state, ["history_total", "recent_3"])
+
+
 def normalized_features(s, d):
     z = forecast.normalized(_examples(s, d), ["history_total", "recent_3", "age"], F.col("split") == "train")
     return z.groupBy("split").agg(*(F.round(F.avg(f"{c}_z"), 6).alias(f"{c}_mean") for c in ("history_total", "recent_3", "age")), *(F.round(F.max(f"{c}_z"), 5).alias(f"{c}_max") for c in ("history_total", "recent_3", "age")))
@@ -204,6 +215,11 @@ links AS (
   SELECT a.unit_id AS src, b.unit_id AS dst, round(sum(1 / ln(1 + degree)), 6) AS edge_weight, count(*) AS shared
   FROM sides a JOIN deg d ON a.entity_id = d.entity_id JOIN sides b ON a.entity_id = b.entity_id AND a.unit_id <> b.unit_id GROUP BY ALL),
 unit_edges AS (SELECT src, dst, edge_weight, shared FROM links QUALIFY row_number() OVER (PARTITION BY src ORDER BY edge_weight DESC, shared DESC, dst) <= 10)"""
+WIDE_EDGES = EDGES.replace("BETWEEN 2 AND 40", "BETWEEN 2 AND 2000").replace("<= 10)", "<= 100)")
+NEIGHBOURS = """SELECT e.src AS unit_id, x.cutoff, count(*) AS neighbours, round(sum(edge_weight), 6) AS weight_sum,
+  round(avg(history_total), 6) AS history_total_mean, max(history_total) AS history_total_max, CAST(sum(history_total) AS BIGINT) AS history_total_sum, round(sum(edge_weight * history_total) / sum(edge_weight), 6) AS history_total_wmean,
+  round(avg(recent_3), 6) AS recent_3_mean, max(recent_3) AS recent_3_max, CAST(sum(recent_3) AS BIGINT) AS recent_3_sum, round(sum(edge_weight * recent_3) / sum(edge_weight), 6) AS recent_3_wmean
+FROM unit_edges e JOIN examples x ON e.dst = x.unit_id GROUP BY ALL"""
 FEATURES = ("history_total", "recent_3", "previous_3", "active_years", "age", "idle")
 
 ORACLES = {
@@ -318,6 +334,8 @@ ORACLES = {
             EDGES + ", " + EXAMPLES,
         ),
     ),
+    "unit_graph_wide": (wide_unit_edges, sql("SELECT * FROM unit_edges", WIDE_EDGES)),
+    "neighbour_features_wide": (wide_neighbour_features, sql(NEIGHBOURS, WIDE_EDGES + ", " + EXAMPLES)),
     "normalized_features": (
         normalized_features,
         sql(
