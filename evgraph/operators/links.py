@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evgraph.functions import expr
+from evgraph.operators.graph import written
 
 
 def hash_order(*cs: Column, seed: int = 42) -> Column:
@@ -29,23 +30,33 @@ def split_by_rank(pairs: DataFrame, keys: list[str], train: float = 0.8, validat
     return r.withColumn("split", split).select(*keys, "split")
 
 
-def negatives(sources: DataFrame, targets: DataFrame, positives: DataFrame, per_split: DataFrame, seed: int = 43, small: int = 5_000_000) -> DataFrame:
-    """Pairs that aren't positive, as many for each split as per_split (split, n) says, in hash order.
+def negatives(sources: DataFrame, targets: DataFrame, positives: DataFrame, per_split: DataFrame, seed: int = 43, small: int = 5_000_000, block: int = 1_000_000) -> DataFrame:
+    """Pairs that aren't positive, as many for each split as per_split (split, n) says: the first ones of the whole space in hash order.
 
-    Up to `small` candidate pairs the whole space is ordered; beyond that hashed pairs are drawn (three for each one needed), made
-    distinct and freed of positives, which gives a uniform sample of the same space without building it.
+    Beyond `small` candidate pairs only those under a bound of the hash are compared with the positives. The bound is set by the
+    pairs needed and raised until there are enough, so the rows are the same at any size. Pairs are made in tasks of about `block`,
+    and ranked within cells of hash space that are offset by the counts before them. Fewer rows come back only if the space has fewer.
     """
     s, t = sources.select("source"), targets.select("target")
-    n_s, n_t = s.count(), t.count()
+    pairs = s.count() * t.count()
     need = per_split.agg(F.sum("n")).first()[0] or 0
-    if n_s * n_t <= small:
-        space = s.crossJoin(F.broadcast(t))
-    else:
-        number = lambda df, c: df.withColumn("i", F.row_number().over(Window.orderBy(c)) - 1)
-        draws = s.sparkSession.range(3 * need).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n_s)).alias("i"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(n_t)).alias("j"))
-        space = draws.join(number(s, "source"), "i").join(number(t, "target").withColumnRenamed("i", "j"), "j").select("source", "target").distinct()
-    free = space.join(positives.select("source", "target"), ["source", "target"], "left_anti").withColumn("h", hash_order(F.col("source"), F.col("target"), seed=seed))
-    top = free.orderBy("h", "source", "target").limit(need).withColumn("at", F.row_number().over(Window.orderBy("h", "source", "target")))
+    known = positives.select("source", "target").distinct()
+    parts = max(s.sparkSession.sparkContext.defaultParallelism, -(-pairs // block))
+    space = s.repartition(parts).crossJoin(t).withColumn("h", hash_order(F.col("source"), F.col("target"), seed=seed))
+    share = 1.0 if pairs <= small else min(1.0, (need + 6 * need**0.5 + 100) / max(1, pairs - known.count()))
+    while True:
+        below = space if share == 1.0 else space.filter(F.col("h") < f"{int(share * (1 << 52)):013x}")
+        free = written(below.join(known, ["source", "target"], "left_anti"), "negatives")
+        if share == 1.0 or free.count() >= need:
+            break
+        share = min(1.0, 2 * share)
+    digits = next(k for k in range(1, 14) if 16**k * share >= max(256, need / 100_000))
+    free = free.withColumn("cell", F.substring("h", 1, digits))
+    sizes = free.groupBy("cell").agg(F.count("*").alias("size"))  # at most 16 times the cells asked for
+    base = F.coalesce(F.sum("size").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("cell").orderBy("h", "source", "target"))
+    offsets = sizes.select("cell", base.alias("base")).filter(F.col("base") < need)
+    top = free.join(F.broadcast(offsets), "cell").withColumn("at", F.col("base") + place)
     bounds = per_split.withColumn("high", F.sum("n").over(Window.orderBy("split"))).withColumn("low", F.col("high") - F.col("n"))
     return top.join(F.broadcast(bounds), (F.col("at") > F.col("low")) & (F.col("at") <= F.col("high"))).select("source", "target", "split")
 
