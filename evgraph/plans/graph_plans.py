@@ -178,11 +178,15 @@ def context_without_target(s, d):
 
 
 def components(s, d):
-    """Sizes of the components of parts that share an order within one brand."""
-    li, p = table(s, d, "lineitem"), table(s, d, "part").filter("p_brand = 'Brand#2'").select(F.col("p_partkey").alias("l_partkey"))
-    m = li.join(p, "l_partkey", "left_semi").select(F.concat(F.lit("O"), "l_orderkey").alias("u"), F.concat(F.lit("P"), "l_partkey").alias("v")).distinct()
-    c = graph.components(m)
-    return c.groupBy("component").agg(F.count("*").alias("nodes"), F.count_if(F.col("node").startswith("P")).alias("parts"))
+    """Components of the whole undirected graph over nodes of all types, isolated ones too, with the nodes of each type."""
+    name = lambda kind, key: F.concat_ws(":", kind, key)
+    c = graph.components(all_edges(s, d).select(name("source_type", "source_id").alias("u"), name("target_type", "target_id").alias("v")))
+    # an end of an edge that no table describes counts by the type that the edge gives it
+    n = all_nodes(s, d).select(name("node_type", "node_id").alias("node"))
+    alone = n.join(c, "node", "left_anti").select("node", F.col("node").alias("component"))
+    rows = c.unionByName(alone).withColumn("kind", F.substring_index("node", ":", 1))
+    kinds = {"orders": "order", "entities": "entity", "customers": "customer"}
+    return rows.groupBy("component").agg(F.count("*").alias("nodes"), *(F.count_if(F.col("kind") == k).alias(c) for c, k in kinds.items()))
 
 
 def random_walks(s, d):
