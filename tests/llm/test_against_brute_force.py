@@ -203,16 +203,6 @@ def test_quality(docs, odd):
             assert not (r.kept and failed)
 
 
-def test_quality_fit_finds_the_reliable_rule():
-    rng, counts = random.Random(2), Counter()
-    for _ in range(4000):
-        good = rng.random() < 0.8
-        vote = lambda right: (1 if good else -1) if rng.random() < right else (-1 if good else 1)
-        counts[(vote(0.97), vote(0.9), rng.choice((-1, 0, 1)))] += 1
-    _, adds = quality_rules.fit(sorted(counts.items()), good_most=0.5)
-    assert adds[0][1] - adds[0][-1] > adds[2][1] - adds[2][-1]
-
-
 @pytest.mark.parametrize("slack", [0.0, 0.25])
 def test_ring(docs, odd, slack):
     for table in (docs, odd, docs.limit(0), docs.limit(3)):
