@@ -1,9 +1,10 @@
 """Toxicity by compression distance: which of two zstandard dictionaries shortens a window more.
 
-Two dictionaries are trained on labelled text. Both end with the same ordinary segments (common words, and words that look like
-toxic ones), so ordinary windows compress alike; the toxic one also holds segments that are far more frequent in toxic documents.
-A window's distance is the ordinary length minus the toxic length. A document's largest distances, with its number of windows,
-give a probability by logistic calibration on labelled documents that the dictionaries haven't seen.
+zstandard's trainer makes one dictionary from ordinary text and one from toxic text. What sets toxic text apart is a small part of it, so
+its samples hold the words with border grams that are far more frequent in toxic documents than in ordinary ones; from all
+of its text the trainer picks what all texts share. The toxic compressor has the ordinary dictionary too, behind its own, so that ordinary words cost the
+same under both. A window's distance is the ordinary length minus the toxic length. A document's largest distances, with its number of
+windows, give a probability by logistic calibration on labelled documents that the dictionaries haven't seen.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from evgraph.llm.shared import hashed_sample
 WINDOW = 8  # words
 _BREAKS = bytes.maketrans(b".,;:!?\"()[]{}*#$%&|<>~_=+/\\", b" " * 27)
 LEARN = 5000  # labelled documents that are used at most: the bound of what the driver holds
+# both dictionaries end with this text and so does every window: a block is then always compressed, and each byte saved shows
+TAIL = b"  and  the  of  to  in  is  that  it  was  for  on  are  as  with  his  they  at  be  this  from  "
+ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, GRAM = 16_384, 2_048, 32, 8
+_CONTENT = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"  # fixed value: the start offsets that end the header of a trained dictionary
 
 
 def held_out(doc_id: Column) -> Column:
@@ -35,9 +40,14 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_BREAKS).split()
 
 
+def spaced(words: Iterable[bytes]) -> bytes:
+    """The words with two spaces at every border, so that the trainer's grams tell whole short words from parts of long ones."""
+    return b"  " + b"  ".join(words) + b"  "
+
+
 def windows(text: str | None) -> list[bytes]:
     w = tokens(text)
-    return [b" " + b" ".join(w[i : i + WINDOW]) + b" " for i in range(0, len(w), WINDOW)]
+    return [spaced(w[i : i + WINDOW]) + TAIL for i in range(0, len(w), WINDOW)]
 
 
 def _grams(word: bytes) -> set[bytes]:
@@ -46,30 +56,29 @@ def _grams(word: bytes) -> set[bytes]:
     return {w} | {w[:n] for n in range(5, 9) if n < len(w)} | {w[-n:] for n in range(5, 9) if n < len(w)}
 
 
-def _segments(words: list[bytes], most: int) -> bytes:
-    """The words as one dictionary part, the first of them last: near segments are cheaper to refer to."""
-    out, size = [], 1
-    for w in words:
-        size += len(w) + 1
-        if size > most:
-            break
-        out.append(w)
-    return b" " + b"".join(w + b" " for w in reversed(out))
+def trained(samples: list[bytes], size: int) -> bytes:
+    """Content of the dictionary that zstandard's trainer makes of the samples; with too little text for it, the end of the samples."""
+    samples = [x for x in samples if len(x) > 2 * GRAM]
+    if len(samples) >= 8 and sum(map(len, samples)) >= 2 * size:
+        try:
+            found = zstandard.train_dictionary(size, samples, k=SEGMENT, d=GRAM).as_bytes()
+            return spaced([found[found.index(_CONTENT) + len(_CONTENT) :].strip(b" ")])
+        except zstandard.ZstdError:
+            pass
+    return b"".join(samples)[-size:]
 
 
-def train_dictionaries(rows: Iterable[tuple[str, int]], base_bytes: int = 12_000, toxic_bytes: int = 4_000) -> tuple[bytes, bytes]:
-    """Contents of the toxic and the ordinary dictionary, from (text, toxic) rows.
+def train_dictionaries(rows: Iterable[tuple[str, int]], ordinary_bytes: int = ORDINARY_BYTES, toxic_bytes: int = TOXIC_BYTES) -> tuple[bytes, bytes]:
+    """Contents of the toxic and the ordinary dictionary, from (text, toxic) rows; empty without both kinds of rows.
 
-    A toxic segment is a word with a border gram whose share of toxic documents exceeds that of ordinary ones at eight standard
-    errors (fewer with little data) and by a factor of twelve, and that one in fifty toxic documents has.
+    The ordinary samples are the ordinary documents, each word once. The toxic samples are the toxic documents' words with a border gram whose share of toxic
+    documents exceeds that of ordinary ones at eight standard errors (fewer with little data) and by a factor of twelve, and that
+    one in fifty toxic documents has. Equal texts teach once.
     """
+    texts = list(dict.fromkeys(rows))
     seen = (Counter(), Counter())
     total = [0, 0]
-    known = set()
-    for text, toxic in rows:
-        if (one := hash((text, toxic))) in known:  # equal texts teach once
-            continue
-        known.add(one)
+    for text, toxic in texts:
         seen[toxic].update(set(tokens(text)))
         total[toxic] += 1
     if not all(total):
@@ -90,13 +99,10 @@ def train_dictionaries(rows: Iterable[tuple[str, int]], base_bytes: int = 12_000
         error = math.sqrt(max(p * (1 - p), 1e-9) * (1 / total[0] + 1 / total[1]))
         if (p1 - p0) / error > strict and p1 > 12 * (p0 + 0.1 / total[0]):
             strong.add(g)
-    toxic_words = [w for w, n in seen[1].most_common() if n > 1 and not _grams(w).isdisjoint(strong)]
-    parts = {w[i : i + 5] for w in toxic_words for i in range(len(w) - 4)}
-    chosen = set(toxic_words)
-    common = [w for w, _ in seen[0].most_common() if w not in chosen]
-    alike = [w for w in common if any(w[i : i + 5] in parts for i in range(len(w) - 4))]
-    base = _segments(alike, base_bytes // 3) + _segments(common, base_bytes - base_bytes // 3)
-    return _segments(toxic_words, toxic_bytes) + base, base
+    marked = {w for w in seen[1] if not _grams(w).isdisjoint(strong)}
+    ordinary = trained([spaced(dict.fromkeys(tokens(text))) for text, toxic in texts if not toxic], ordinary_bytes)
+    toxic = trained([spaced(w for w in tokens(text) if w in marked) for text, toxic in texts if toxic], toxic_bytes)
+    return toxic, ordinary
 
 
 class Distance:
@@ -106,10 +112,10 @@ class Distance:
         self.pair = []
         if not toxic:
             return
-        for content in (ordinary, toxic):
+        for content in (ordinary + TAIL, toxic + ordinary + TAIL):
             how = zstandard.ZstdCompressionParameters(
                 format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False,
-                window_log=16, hash_log=15, chain_log=15, strategy=zstandard.STRATEGY_LAZY2, min_match=4, search_log=6, target_length=64,
+                window_log=17, hash_log=15, chain_log=15, strategy=zstandard.STRATEGY_LAZY2, min_match=4, search_log=5, target_length=64,
             )
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=how)
