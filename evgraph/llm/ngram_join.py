@@ -1,11 +1,13 @@
 """Similarity join of documents on the Jaccard similarity of their word n-gram sets.
 
-Sets that are equal collapse first. A set's prefix, the shingles of which any similar set must hold one, takes shingles that
-occur in one document only before others, so most documents have no key left and can't link. Documents that share a key
+Sets that are equal collapse first; from then on a set is known by its 128-bit digest. A set's prefix, the shingles of which any similar set must hold one, takes shingles that
+occur in one document only before others, so most documents have no key left and can't link. Sets that share a key
 meet in tiles of neighbouring sizes (bands by the threshold ratio) and are compared by hashed parity bitmaps: the symmetric difference has
-as many shingles as differing bits at least, so bit counts bound the overlap from above. What passes is
-verified by intersecting sorted arrays. Verification visits the candidate graph's components, skips pairs
-already in one class (their link changes nothing), and splits large components into pairs of blocks, each a task's size.
+as many shingles as differing bits at least, so bit counts bound the overlap from above. What passes makes candidate groups, in which links are
+verified by intersecting sorted arrays, but for pairs that are in one class already (their link changes nothing).
+
+A group of more than a tile's sets is never compared pair by pair: tiles of it are solved alone, then tiles of the classes' representatives, and so on;
+near copies soon are one class. What is left are the sets outside of the group's largest class, which meet the sets of neighbouring bands, tile by tile.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from evgraph.llm.repeats import repeat_filter
 from evgraph.llm.shared import batch_of, store, text_bytes
 from evgraph.llm.text import U64, Slice, full_windows, lower_ascii, mix, slices, window_hashes, word_hashes
 
-BLOCK = 2048  # documents of a block; a task holds two
+BLOCK = 512  # sets of a tile; a task compares one tile, or one with another
+ROUNDS = 4  # of representatives, before the rest is compared in full
 
 
 def shingles(s: Slice, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,10 +120,13 @@ def passing(a: Tile, b: Tile, percent: int, same: bool) -> Iterator[tuple[int, n
 
 
 class Classes:
-    """Union-find over a task's rows."""
+    """Union-find over a task's rows; rows with equal labels begin in one class."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, labels: list | None = None):
         self.up = np.arange(n)
+        first: dict = {}
+        for i, label in enumerate(labels or ()):
+            self.up[i] = first.setdefault(label, i)
 
     def root(self, i: int) -> int:
         while self.up[i] != i:
@@ -140,75 +146,106 @@ class Classes:
         return up
 
 
-def _blocks(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the task's first and second block; the same if it holds one."""
-    side = table["block"].to_numpy()
-    one, two = table["one"][0].as_py(), table["two"][0].as_py()
-    return np.flatnonzero(side == one), np.flatnonzero(side == two)
+def _joins(classes: Classes, maps: list[bytes], sizes: np.ndarray, arrays: list[np.ndarray] | None, one: np.ndarray, two: np.ndarray | None, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of rows that join two classes: of tile one with tile two, or within tile one. arrays: verify pairs by their shingles."""
+    a = Tile(sizes[one], [maps[i] for i in one])
+    b = a if two is None else Tile(sizes[two], [maps[i] for i in two])
+    for i, js in passing(a, b, percent, two is None):
+        x = int(one[i])
+        js = (one if two is None else two)[js]
+        for y in js[classes.roots(js) != classes.root(x)].tolist():
+            if classes.root(x) == classes.root(y):
+                continue
+            if arrays is not None:
+                both = np.concatenate([arrays[x], arrays[y]])
+                both.sort()
+                overlap = int((both[1:] == both[:-1]).sum())
+                if 100 * overlap < percent * (sizes[x] + sizes[y] - overlap):
+                    continue
+            classes.join(x, y)
+            yield x, y
+
+
+def _arrays(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), U64) for x in table["hashes"]]
 
 
 def _passing_links(percent: int):
     def links(table: pa.Table) -> pa.Table:
-        """A spanning forest of the pairs of a key's documents that the bounds let pass."""
-        ids, sizes, maps = table["doc"].to_numpy(), table["n"].to_numpy(), table["bits"].to_pylist()
-        out_u, out_v, classes = [], [], Classes(len(ids))
-        one, two = _blocks(table)
-        a = Tile(sizes[one], [maps[i] for i in one])
-        same = table["one"][0].as_py() == table["two"][0].as_py()
-        b = a if same else Tile(sizes[two], [maps[i] for i in two])
-        two = one if same else two
-        for i, js in passing(a, b, percent, same):
-            js = two[js]
-            for j in js[classes.roots(js) != classes.root(one[i])].tolist():
-                if classes.join(one[i], j):
-                    out_u.append(ids[one[i]])
-                    out_v.append(ids[j])
-        return pa.table([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], names=["u", "v"])
+        """A spanning forest of the pairs of a key's sets that the bounds let pass."""
+        ids, sizes = table["doc"].to_pylist(), table["n"].to_numpy()
+        found = list(_joins(Classes(len(ids)), table["bits"].to_pylist(), sizes, None, np.arange(len(ids)), None, percent))
+        return pa.table([pa.array([ids[x] for x, _ in found], pa.binary()), pa.array([ids[y] for _, y in found], pa.binary())], names=["u", "v"])
 
     return links
 
 
-def _verified_links(percent: int):
+def _heads(percent: int):
+    def heads(table: pa.Table) -> pa.Table:
+        """The head (smallest set) of each set's class, by the links within a tile."""
+        ids, sizes = table["doc"].to_pylist(), table["n"].to_numpy().astype(np.int64)
+        order = np.array(sorted(range(len(ids)), key=ids.__getitem__))
+        table, ids, sizes = table.take(pa.array(order)), [ids[i] for i in order], sizes[order]
+        classes = Classes(len(ids))
+        for _ in _joins(classes, table["bits"].to_pylist(), sizes, _arrays(table), np.arange(len(ids)), None, percent):
+            pass
+        head = [ids[i] for i in classes.roots(np.arange(len(ids)))]
+        return pa.table([pa.array(ids, pa.binary()), pa.array(head, pa.binary())], names=["doc", "head"])
+
+    return heads
+
+
+def _met_links(percent: int):
     def links(table: pa.Table) -> pa.Table:
-        """A spanning forest of the links among a block pair's documents."""
-        ids = table["doc"].to_numpy()
-        arrays = [np.frombuffer(x.as_buffer(), U64) for x in table["hashes"]]
-        sizes = np.array([len(x) for x in arrays])
-        maps = table["bits"].to_pylist()
-        out_u, out_v, classes = [], [], Classes(len(ids))
-        one, two = _blocks(table)
-        same = table["one"][0].as_py() == table["two"][0].as_py()
-        a = Tile(sizes[one], [maps[i] for i in one])
-        b = a if same else Tile(sizes[two], [maps[i] for i in two])
-        two = one if same else two
-        for i, js in passing(a, b, percent, same):
-            x = one[i]
-            js = two[js]
-            js = js[classes.roots(js) != classes.root(x)]
-            for y in js.tolist():
-                if classes.root(x) == classes.root(y):
-                    continue
-                both = np.concatenate([arrays[x], arrays[y]])
-                both.sort()
-                overlap = int((both[1:] == both[:-1]).sum())
-                if 100 * overlap >= percent * (sizes[x] + sizes[y] - overlap):
-                    classes.join(x, y)
-                    out_u.append(ids[x])
-                    out_v.append(ids[y])
-        return pa.table([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], names=["u", "v"])
+        """Links between classes, of the sets outside of the largest class with those of a tile."""
+        labels, sizes, asks = table["label"].to_pylist(), table["n"].to_numpy().astype(np.int64), table["asks"].to_numpy(zero_copy_only=False)
+        one, two = np.flatnonzero(asks), np.flatnonzero(~asks)
+        found = []
+        if len(one) and len(two):
+            found = list(_joins(Classes(len(labels), labels), table["bits"].to_pylist(), sizes, _arrays(table), one, two, percent))
+        return pa.table([pa.array([labels[x] for x, _ in found], pa.binary()), pa.array([labels[y] for _, y in found], pa.binary())], names=["u", "v"])
 
     return links
 
 
-def in_block_pairs(rows: DataFrame, group: str, counted: DataFrame) -> DataFrame:
-    """Each group's rows dealt into pairs of blocks, so that any two rows meet in one task and no task holds more than two blocks.
+def large_group_classes(rows: DataFrame, percent: int) -> DataFrame:
+    """(doc, label) of the sets of large groups: equal labels are linked, directly or through others of the group.
 
-    rows: group, doc, ...; counted: group, m (its rows). Adds block, one, two.
+    rows: component, doc, n, bits, hashes.
     """
-    with_blocks = rows.join(counted.select(group, F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), group)
-    block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    dealt = with_blocks.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("other", "blocks")
+    rows = store(rows, "large-groups")
+    labels = rows.select("component", "doc", F.col("doc").alias("label"))
+    before = None
+    for turn in range(ROUNDS):
+        heads = labels.filter("doc = label").select("component", "doc")
+        sizes = heads.groupBy("component").agg(F.count("*").alias("m"))
+        total = sizes.agg(F.sum("m"), F.max("m")).first()
+        if not total[0] or (before is not None and (total[0] > 0.9 * before or total[1] == 1)):
+            break
+        before = total[0]
+        tiles = heads.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("doc", F.lit(turn)), F.ceil(F.col("m") / BLOCK)))
+        tiles = tiles.join(rows.select("doc", "n", "bits", "hashes"), "doc")
+        found = tiles.groupBy("component", "tile").applyInArrow(_heads(percent), "doc binary, head binary")
+        labels = labels.join(found.select(F.col("doc").alias("label"), "head"), "label").select("component", "doc", F.col("head").alias("label"))
+        labels = store(labels, "large-group-labels")
+    sizes = labels.groupBy("component", "label").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("component").agg(F.max(F.struct("m", "label")).alias("top")).select("component", F.col("top.label").alias("top"))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int") if percent < 100 else F.col("n").cast("int")
+    facts = rows.select("component", "doc", "n", "bits", "hashes", band.alias("band"))
+    sets_ = store(labels.join(largest, "component").join(facts, ["component", "doc"]).withColumn("stray", F.col("label") != F.col("top")).drop("top"), "large-group-sets")
+    strays = sets_.filter("stray").groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK).alias("ask_tiles"))
+    # the tiles of a band's sets that strays of its own and the neighbouring bands meet
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("near")
+    tiles = sets_.groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK).alias("tiles"))
+    meet = tiles.select("component", "band", "tiles", near).join(strays.withColumnRenamed("band", "near"), ["component", "near"])
+    here = F.pmod(F.xxhash64("doc"), F.col("tiles"))
+    held = sets_.join(meet, ["component", "band"]).select("component", "band", "near", here.alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ask_tiles") - 1)).alias("ask_tile"), "label", "n", "bits", "hashes", F.lit(False).alias("asks"))
+    asks = sets_.filter("stray").withColumnRenamed("band", "near").join(meet, ["component", "near"])
+    asks = asks.select("component", "band", "near", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), F.pmod(F.xxhash64("doc"), F.col("ask_tiles")).alias("ask_tile"), "label", "n", "bits", "hashes", F.lit(True).alias("asks"))
+    linked = held.unionByName(asks).groupBy("component", "band", "near", "tile", "ask_tile").applyInArrow(_met_links(percent), "u binary, v binary")
+    joined = components(linked)
+    out = labels.join(joined, F.col("label") == F.col("node"), "left")
+    return out.select("doc", F.coalesce(joined["component"], "label").alias("label"))
 
 
 def ngram_jaccard(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -216,75 +253,75 @@ def ngram_jaccard(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
 
     docs: doc_id long, text string; other columns are ignored. Words are runs of bytes other than 0x20 and 0x09-0x0D, with A-Z
     lower-cased; a text of fewer words than size has one n-gram, of all its words; without words (or null) it has none and
-    links with nothing. Returns doc_id, n_shingles long and component_id long: the smallest doc_id that links
-    reach, its own included. Rows that repeat a doc_id keep their rows. A null doc_id stays null, in a component of its own.
+    links with nothing. Returns doc_id, n_shingles long, component_id long (the smallest doc_id that links
+    reach, its own included), group_id binary (the same for all rows of a component; null without words) and text_hash long (xxhash64 of the text). Rows that repeat a doc_id keep their rows, each with the set and the links of its own text. A null doc_id stays null, in a component of its own.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = docs.filter(F.col("doc_id").isNotNull())
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     sc = docs.sparkSession.sparkContext
     known = sc.broadcast(repeat_filter(docs, lambda s: (shingles(s, size)[0], None), text_bytes(docs)))
-    kind = "doc_id long, n_shingles long, class string, keys binary, bits binary, hashes binary"
+    kind = "doc_id long, text_hash long, n_shingles long, class binary, keys binary, bits binary, hashes binary"
 
     def described(batches) -> Iterator[pa.RecordBatch]:
         """Every document's set size and digest; keys, bitmap and set of those that can link."""
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+            ids, tags = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
             for s in slices(batch.column("text")):
                 rows = []
                 for i, h in enumerate(sets(s, size)):
                     n = len(h)
-                    digest = hashlib.blake2b(h.tobytes(), digest_size=16).hexdigest() if n else None
-                    row = (ids[s.first + i], n, digest, None, None, None)
+                    digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest() if n else None
+                    row = (ids[s.first + i], tags[s.first + i], n, digest, None, None, None)
                     if n:
                         shared = h[known.value.holds(h)]
                         left = prefix_length(n, percent) - (n - len(shared))
                         if left > 0:
-                            row = (*row[:3], shared[:left].tobytes(), bitmap(h), h.tobytes())
+                            row = (*row[:4], shared[:left].tobytes(), bitmap(h), h.tobytes())
                     rows.append(row)
                 yield batch_of(rows, kind)
 
     described_ = store(docs.mapInArrow(described, kind), "shingle-sets")
-    members = described_.select("doc_id", "n_shingles", "class")
-    heads = members.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("head"))
+    members = described_.select("doc_id", "text_hash", "n_shingles", "class")
     holders = described_.filter(F.col("keys").isNotNull() & F.col("doc_id").isNotNull())
-    # one document stands for each distinct set; rows that repeat a doc_id with its text collapse too
-    alone = holders.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    stand = holders.join(alone, ["class", "doc_id"], "left_semi").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "keys", "bits", "hashes").dropDuplicates(["doc"])
+    # one row stands for each distinct set, whichever documents have it
+    stand = holders.select(F.col("class").alias("doc"), F.col("n_shingles").alias("n"), "keys", "bits", "hashes").dropDuplicates(["doc"])
     stand = store(stand, "candidates")
 
     def exploded(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("keys")]
             count = [len(x) for x in lists]
-            docs_ = np.repeat(batch.column("doc").to_numpy(), count)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)), pa.array(docs_)], names=["key", "doc"])
+            docs_ = batch.column("doc").take(pa.array(np.repeat(np.arange(len(lists)), count)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)), docs_], names=["key", "doc"])
 
-    keyed = stand.select("doc", "keys").mapInArrow(exploded, "key long, doc long")
+    keyed = stand.select("doc", "keys").mapInArrow(exploded, "key long, doc binary")
     # keys with the same documents make the same comparisons: the smallest of them stays
     met = keyed.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("doc").cast("decimal(20,0)")).alias("sum"), F.min("doc").alias("low"), F.max("doc").alias("high")).filter("m > 1")
     kept = met.groupBy("m", "sum", "low", "high").agg(F.min("key").alias("key"))
-    rows = keyed.join(kept.select("key", "m"), "key")
-    counted = kept.select("key", "m")
-    pairs = in_block_pairs(rows.drop("m"), "key", counted).join(stand.select("doc", "n", "bits"), "doc")
-    passed = pairs.groupBy("key", "one", "two").applyInArrow(_passing_links(percent), "u long, v long")
-    groups = store(components(passed), "candidate-groups")
+    rows = keyed.join(kept.select("key", "m", "low"), "key")
+    close = rows.filter(F.col("m") <= BLOCK).join(stand.select("doc", "n", "bits"), "doc")
+    passed = close.groupBy("key").applyInArrow(_passing_links(percent), "u binary, v binary")
+    # a key of more sets than a tile holds makes them one group without comparisons
+    wide = rows.filter(F.col("m") > BLOCK).select(F.col("doc").alias("u"), F.col("low").alias("v"))
+    groups = store(components(passed.unionByName(wide)), "candidate-groups")
     sized = groups.groupBy("component").agg(F.count("*").alias("m"))
-    together = in_block_pairs(groups.select("component", F.col("node").alias("doc")), "component", sized).join(stand.select("doc", "bits", "hashes"), "doc")
-    linked = together.groupBy("component", "one", "two").applyInArrow(_verified_links(percent), "u long, v long")
-    joined = components(linked)
-    found = heads.join(stand_heads(alone), "class", "left").join(joined, F.col("stand") == F.col("node"), "left")
-    # a stand-in is its set's smallest document, so components of stand-ins name the smallest of all
-    lookup = found.select("class", F.coalesce("component", "head").alias("component_id"))
+    together = groups.join(sized, "component").select("component", F.col("node").alias("doc"), "m").join(stand.select("doc", "n", "bits", "hashes"), "doc")
+    small = together.filter(F.col("m") <= BLOCK).groupBy("component").applyInArrow(_heads(percent), "doc binary, head binary")
+    if (sized.agg(F.max("m")).first()[0] or 0) > BLOCK:
+        large = large_group_classes(together.filter(F.col("m") > BLOCK).drop("m"), percent)
+        small = small.unionByName(large.withColumnRenamed("label", "head"))
+    classes = store(small.withColumnRenamed("doc", "class"), "classes")
+    # a set without candidates is a class of its own; the smallest doc_id of a class names it
+    named_sets = members.filter(F.col("class").isNotNull() & F.col("doc_id").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
+    headed = named_sets.join(classes, "class", "left").withColumn("head", F.coalesce("head", "class"))
+    several = headed.groupBy("head").agg(F.min("least").alias("component_id"))
+    lookup = headed.join(several, "head").select("class", "component_id", F.col("head").alias("group_id"))
     out = members.join(lookup, "class", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-
-
-def stand_heads(alone: DataFrame) -> DataFrame:
-    return alone.select("class", F.col("doc_id").alias("stand"))
+    named = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", named.alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("group_id")).alias("group_id"), "text_hash")
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return ngram_jaccard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ngram_jaccard(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),

@@ -54,6 +54,11 @@ def doc_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(-(1 << 63)))
 
 
+def text_tag(text: str = "text") -> Column:
+    """32 bits of the text's hash: with doc_key they tell rows apart that repeat a doc_id with another text."""
+    return F.shiftrightunsigned(F.xxhash64(text), 32)
+
+
 def bucket_bits(total_bytes: int, most: int = 16) -> int:
     """Log2 of the number of exchange buckets: about 4 MB of text each, so that a bucket fits in a task at any size."""
     return int(min(most, max(4, np.ceil(np.log2(max(1, total_bytes) / (4 << 20))))))

@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.llm.repeats import repeat_filter
-from evgraph.llm.shared import batch_of, bucket_bits, deal, doc_key, firsts, gather, text_bytes
+from evgraph.llm.shared import batch_of, bucket_bits, deal, doc_key, firsts, gather, text_bytes, text_tag
 from evgraph.llm.text import U64, Slice, full_windows, slices, window_hashes, word_hashes
 
 FLUSH = 1 << 19
-_DEALT = pa.schema([("bucket", pa.int32()), ("h1", pa.binary()), ("h2", pa.binary()), ("doc", pa.binary()), ("at", pa.binary())])
+_DEALT = pa.schema([("bucket", pa.int32()), ("h1", pa.binary()), ("h2", pa.binary()), ("doc", pa.binary()), ("tag", pa.binary()), ("at", pa.binary())])
 
 
 class _Words:
@@ -51,11 +51,12 @@ class _Words:
         return window_hashes(self.hash, at, window, 0), (window_hashes(second, at, window, 1) >> U64(32)).astype(np.uint32)
 
 
-def _earliest(h1, h2, doc, at):
-    order = np.lexsort((at, doc, h2, h1))
-    h1, h2, doc, at = h1[order], h2[order], doc[order], at[order]
-    keep = firsts(h1, h2)
-    return h1[keep], h2[keep], doc[keep], at[keep]
+def _earliest(h1, h2, doc, tag, at):
+    """The first place of each window: smallest doc, then text tag, then word."""
+    order = np.lexsort((at, tag, doc, h2, h1))
+    columns = [c[order] for c in (h1, h2, doc, tag, at)]
+    keep = firsts(*columns[:2])
+    return tuple(c[keep] for c in columns)
 
 
 def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -64,9 +65,10 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     docs: doc_id long, text string; other columns are ignored. Returns doc_id, n_words long,
     n_removed long, n_spans long (maximal removed runs), text string (kept words joined by one space).
     Null text: no words. Texts of fewer words than the window lose nothing. Rows that repeat a doc_id and its text count as one
-    document and get the same result; so do rows without a doc_id that have equal texts, which order before all others.
+    document and get the same result; so do rows without a doc_id that have equal texts, which order before all others. Rows that
+    repeat a doc_id with another text are documents of their own, in order of a hash of the text.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("key"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("key"), text_tag().alias("tag"), "text")
     sc = docs.sparkSession.sparkContext
     total = text_bytes(docs)
     block = window // 2
@@ -82,7 +84,7 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     def extended(batches):
         parts, n = [], 0
         for batch in batches:
-            ids = batch.column("key").to_numpy()
+            ids, tags = batch.column("key").to_numpy(), batch.column("tag").to_numpy().astype(np.uint32)
             for s in slices(batch.column("text")):
                 w = _Words(s)
                 at = w.candidates(window, index.value.holds)
@@ -90,7 +92,7 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
                     continue
                 h1, h2 = w.windows(at, window)
                 owner = w.docs[at]
-                parts.append(_earliest(h1, h2, ids[s.first + owner], (at - w.first[owner]).astype(np.int32)))
+                parts.append(_earliest(h1, h2, ids[s.first + owner], tags[s.first + owner], (at - w.first[owner]).astype(np.int32)))
                 n += len(parts[-1][0])
                 if n >= FLUSH:
                     yield from send(parts)
@@ -99,30 +101,30 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
             yield from send(parts)
 
     def send(parts):
-        h1, h2, doc, at = _earliest(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        yield from deal((h1 >> U64(64 - bucket)).astype(np.int32), [h1, h2, doc, at], _DEALT)
+        h1, h2, doc, tag, at = _earliest(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        yield from deal((h1 >> U64(64 - bucket)).astype(np.int32), [h1, h2, doc, tag, at], _DEALT)
 
     def first_places(table: pa.Table) -> pa.Table:
-        _, _, doc, at = _earliest(gather(table, "h1", U64), gather(table, "h2", np.uint32), gather(table, "doc", np.int64), gather(table, "at", np.int32))
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
-        cut = np.flatnonzero(firsts(doc)) if len(doc) else np.zeros(0, np.int64)
+        _, _, doc, tag, at = _earliest(*(gather(table, c, kind) for c, kind in (("h1", U64), ("h2", np.uint32), ("doc", np.int64), ("tag", np.uint32), ("at", np.int32))))
+        order = np.lexsort((at, tag, doc))
+        doc, tag, at = doc[order], tag[order], at[order]
+        cut = np.flatnonzero(firsts(doc, tag)) if len(doc) else np.zeros(0, np.int64)
         lists = [at[a:b].tobytes() for a, b in zip(cut, np.r_[cut[1:], len(doc)].astype(np.int64), strict=True)] if len(doc) else []
-        return pa.table([pa.array(doc[cut]), pa.array(lists, pa.binary())], names=["doc_id", "at"])
+        return pa.table([pa.array(doc[cut]), pa.array(tag[cut].astype(np.int64)), pa.array(lists, pa.binary())], names=["first_doc", "first_tag", "at"])
 
     earliest = (
-        docs.select("key", "text").mapInArrow(extended, "bucket int, h1 binary, h2 binary, doc binary, at binary")
+        docs.select("key", "tag", "text").mapInArrow(extended, "bucket int, h1 binary, h2 binary, doc binary, tag binary, at binary")
         .groupBy("bucket")
-        .applyInArrow(first_places, "doc_id long, at binary")
+        .applyInArrow(first_places, "first_doc long, first_tag long, at binary")
     )
-    earliest = earliest.groupBy("doc_id").agg(F.collect_list("at").alias("at")).withColumnRenamed("doc_id", "first_doc")
+    earliest = earliest.groupBy("first_doc", "first_tag").agg(F.collect_list("at").alias("at"))
 
-    result = "doc_id long, n_words long, n_removed long, n_spans long, text string, source string, key long"
+    result = "doc_id long, n_words long, n_removed long, n_spans long, text string, source string, key long, tag long"
 
     def triage(batches):
         """Documents without a candidate window are done; the others carry their text on."""
         for batch in batches:
-            ids, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
+            ids, keys, tags = (batch.column(c).to_pylist() for c in ("doc_id", "key", "tag"))
             for s in slices(batch.column("text")):
                 w = _Words(s)
                 waits = np.zeros(s.rows, bool)
@@ -130,10 +132,10 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
                 rows = []
                 for i in range(s.rows):
                     if waits[i]:
-                        rows.append((ids[s.first + i], None, None, None, None, s.text(i).decode("utf-8", "replace"), keys[s.first + i]))
+                        rows.append((ids[s.first + i], None, None, None, None, s.text(i).decode("utf-8", "replace"), keys[s.first + i], tags[s.first + i]))
                     else:
                         n = int(w.first[i + 1] - w.first[i])
-                        rows.append((ids[s.first + i], n, 0, 0, _join(w, i, None), None, keys[s.first + i]))
+                        rows.append((ids[s.first + i], n, 0, 0, _join(w, i, None), None, keys[s.first + i], tags[s.first + i]))
                 yield batch_of(rows, result)
 
     def judge(batches):
@@ -151,8 +153,7 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
                 keep = np.zeros(len(w.hash) + 1, bool)
                 for i in range(s.rows):
                     for at in lists[s.first + i] or ():
-                        at = w.first[i] + np.frombuffer(at, np.int32)
-                        keep[at[at < w.first[i + 1]]] = True
+                        keep[w.first[i] + np.frombuffer(at, np.int32)] = True
                 again = begin[~keep[begin]]
                 change = np.zeros(len(w.hash) + 1, np.int32)
                 np.add.at(change, again, 1)
@@ -162,13 +163,13 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
                 rows = []
                 for i in range(s.rows):
                     a, b = w.first[i], w.first[i + 1]
-                    rows.append((ids[s.first + i], int(b - a), int(gone[a:b].sum()), int(opens[a:b].sum()), _join(w, i, gone), None, None))
+                    rows.append((ids[s.first + i], int(b - a), int(gone[a:b].sum()), int(opens[a:b].sum()), _join(w, i, gone), None, None, None))
                 yield batch_of(rows, result)
 
-    result_names = ["doc_id", "n_words", "n_removed", "n_spans", "text", "source", "key"]
+    result_names = ["doc_id", "n_words", "n_removed", "n_spans", "text", "source", "key", "tag"]
     waiting = docs.mapInArrow(triage, result)
-    joined = waiting.join(earliest, F.col("key") == F.col("first_doc"), "left")
-    return joined.drop("first_doc").mapInArrow(judge, result).drop("source", "key")
+    joined = waiting.join(earliest, (F.col("key") == F.col("first_doc")) & (F.col("tag") == F.col("first_tag")), "left")
+    return joined.drop("first_doc", "first_tag").mapInArrow(judge, result).drop("source", "key", "tag")
 
 
 def _join(w: _Words, i: int, gone) -> str:

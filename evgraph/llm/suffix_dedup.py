@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.llm.repeats import repeat_filter
-from evgraph.llm.shared import batch_of, bucket_bits, doc_key, hashed_sample, text_bytes
+from evgraph.llm.shared import batch_of, bucket_bits, doc_key, hashed_sample, text_bytes, text_tag
 from evgraph.llm.text import U64, Slice, slices
 
 GRAM = 8
@@ -76,8 +76,8 @@ def common(a: bytes, b: bytes, start: int = 0) -> int:
     return min(start, end)
 
 
-def pack_run(suffixes: list[tuple[bytes, bytes]], places: list[list[tuple[int, int, int]]]) -> bytes:
-    """A sorted run of distinct (suffix, left bytes), front-coded, with the places (doc, first window, last window) of each."""
+def pack_run(suffixes: list[tuple[bytes, bytes]], places: list[list[tuple[int, int, int, int]]]) -> bytes:
+    """A sorted run of distinct (suffix, left bytes), front-coded, with the places (doc, text tag, first window, last window) of each."""
     shared, rests, before = [], [], b""
     for right, _ in suffixes:
         n = common(before, right)
@@ -85,7 +85,7 @@ def pack_run(suffixes: list[tuple[bytes, bytes]], places: list[list[tuple[int, i
         rests.append(right[n:])
         before = right
     heads = np.array([shared, [len(x) for x in rests], [len(x) for _, x in suffixes], [len(x) for x in places]], np.int64)
-    at = np.array([x for each in places for x in each], np.int64).reshape(-1, 3).T
+    at = np.array([x for each in places for x in each], np.int64).reshape(-1, 4).T
     body = heads.astype(np.int32).tobytes() + np.ascontiguousarray(at).tobytes() + b"".join(rests) + b"".join(x for _, x in suffixes)
     return len(suffixes).to_bytes(4, "little") + at.shape[1].to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(body)
 
@@ -94,8 +94,8 @@ def unpack_run(run: bytes) -> tuple[list[int], list[bytes], list[bytes], list[in
     n, m = int.from_bytes(run[:4], "little"), int.from_bytes(run[4:8], "little")
     body = zstandard.ZstdDecompressor().decompress(run[8:])
     shared, rest, left, count = (x.tolist() for x in np.frombuffer(body, np.int32, 4 * n).reshape(4, n))
-    places = np.frombuffer(body, np.int64, 3 * m, 16 * n).reshape(3, m)
-    at = 16 * n + 24 * m
+    places = np.frombuffer(body, np.int64, 4 * m, 16 * n).reshape(4, m)
+    at = 16 * n + 32 * m
     rights, lefts, before = [], [], b""
     for k, size in zip(shared, rest, strict=True):
         before = before[:k] + body[at : at + size]
@@ -160,11 +160,11 @@ def merge_runs(runs: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[int,
         shared = known[winner]
 
 
-Group = list[tuple[bytes, bytes, list[tuple[int, int, int]]]]
+Group = list[tuple[bytes, bytes, list[tuple[int, int, int, int]]]]
 
 
-def shared_windows(group: Group, length: int) -> Iterator[tuple[int, int, int]]:
-    """(doc, first, last window) of the windows that occur twice or more; group: suffixes with their left bytes and places.
+def shared_windows(group: Group, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(doc, text tag, first, last window) of the windows that occur twice or more; group: suffixes with their left bytes and places.
 
     Window d of a place is its `d` left bytes before the anchor and length - d bytes from it on.
     """
@@ -215,11 +215,11 @@ def shared_windows(group: Group, length: int) -> Iterator[tuple[int, int, int]]:
             yield from _cut(group[i][2], group[i][1], int(d0), int(d1) - 1)
 
 
-def _cut(places, left: bytes, least: int, most: int) -> Iterator[tuple[int, int, int]]:
-    for doc, first, last in places:
+def _cut(places, left: bytes, least: int, most: int) -> Iterator[tuple[int, int, int, int]]:
+    for doc, tag, first, last in places:
         a, b = max(first, first + len(left) - most), min(last, first + len(left) - least)
         if a <= b:
-            yield doc, a, b
+            yield doc, tag, a, b
 
 
 _RNG = np.random.default_rng(5)
@@ -253,10 +253,11 @@ def suffix_dedup(docs: DataFrame, length: int = 200, reach: int = 96, whole_char
     whole_characters: characters that lose a byte are removed, so that what is kept is UTF-8. reach (at most length - GRAM): how far into a window its anchor may
     lie. Returns doc_id, n_bytes long, n_removed long, n_spans long (maximal removed runs), kept binary (the remaining bytes).
     A null text counts as empty; texts shorter than length lose nothing. Texts are whole; strings never cross documents. Rows
-    that repeat a doc_id and its text count as one document and get the same result; so do rows without a doc_id that have equal texts.
+    that repeat a doc_id and its text count as one document and get the same result; so do rows without a doc_id that have equal texts. Rows
+    that repeat a doc_id with another text are documents of their own. In groups of more than six suffixes windows are compared by 64-bit sums.
     """
     doc_id, rest = F.col("doc_id").cast("long"), F.struct(F.lit(0).alias("none"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)))
-    docs = docs.select(doc_key().alias("key"), doc_id.alias("doc_id"), "text", rest.alias("rest"))
+    docs = docs.select(doc_key().alias("key"), text_tag().alias("tag"), doc_id.alias("doc_id"), "text", rest.alias("rest"))
     sc = docs.sparkSession.sparkContext
     total = text_bytes(docs)
     near = length - reach + 1
@@ -275,12 +276,12 @@ def suffix_dedup(docs: DataFrame, length: int = 200, reach: int = 96, whole_char
     borders = sc.broadcast(sorted({heads[i * len(heads) // ranges][:24] for i in range(1, ranges)}) if heads else [])
 
     def runs(batches) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[bytes, bytes], list[tuple[int, int, int]]] = {}
+        held: dict[tuple[bytes, bytes], list[tuple[int, int, int, int]]] = {}
         for batch in batches:
-            keys = batch.column("key").to_pylist()
+            keys = list(zip(batch.column("key").to_pylist(), batch.column("tag").to_pylist(), strict=True))
             for s in slices(batch.column("text")):
                 for right, left, row, f, z in _suffixes(s, length, reach, filter_.value.holds, filter_.value.is_hot):
-                    held.setdefault((right, left), []).append((keys[s.first + row], f, z))
+                    held.setdefault((right, left), []).append((*keys[s.first + row], f, z))
                 if len(held) >= FLUSH:
                     yield from send(held)
                     held = {}
@@ -300,13 +301,10 @@ def suffix_dedup(docs: DataFrame, length: int = 200, reach: int = 96, whole_char
     def merged(table: pa.Table) -> pa.Table:
         parts = [unpack_run(x.as_py()) for x in table["run"]]
         starts = [np.r_[0, np.cumsum(p[3])] for p in parts]
-        docs_, firsts_, lasts_ = [], [], []
+        found = []
 
         def close(group: dict) -> None:
-            for doc, a, b in shared_windows([(r, x, sorted(set(p))) for (r, x), p in group.items()], length):
-                docs_.append(doc)
-                firsts_.append(a)
-                lasts_.append(b)
+            found.extend(shared_windows([(r, x, sorted(set(p))) for (r, x), p in group.items()], length))
 
         group: dict[tuple[bytes, bytes], list] = {}
         for run, i, shared in merge_runs([(p[0], p[1]) for p in parts]):
@@ -319,10 +317,11 @@ def suffix_dedup(docs: DataFrame, length: int = 200, reach: int = 96, whole_char
             group.setdefault((rights[i], lefts[i]), []).extend(zip(*places[:, a:b].tolist(), strict=True))
         if group:
             close(group)
-        return pa.table([pa.array(docs_, pa.int64()), pa.array(firsts_, pa.int64()), pa.array(lasts_, pa.int64())], names=["key", "first", "last"])
+        columns = np.array(found, np.int64).reshape(-1, 4).T
+        return pa.table([pa.array(c) for c in columns], names=["key", "tag", "first", "last"])
 
-    windows = docs.select("key", "text").mapInArrow(runs, "bucket int, run binary").groupBy("bucket").applyInArrow(merged, "key long, first long, last long")
-    windows = windows.groupBy(F.col("key").alias("at_key")).agg(F.collect_list(F.struct("first", "last")).alias("windows"))
+    windows = docs.select("key", "tag", "text").mapInArrow(runs, "bucket int, run binary").groupBy("bucket").applyInArrow(merged, "key long, tag long, first long, last long")
+    windows = windows.groupBy(F.col("key").alias("at_key"), F.col("tag").alias("at_tag")).agg(F.collect_list(F.struct("first", "last")).alias("windows"))
 
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -339,9 +338,8 @@ def suffix_dedup(docs: DataFrame, length: int = 200, reach: int = 96, whole_char
                         continue
                     change = np.zeros(len(text) + 1, np.int32)
                     first, end = found.values.field("first").to_numpy(), found.values.field("last").to_numpy() + length
-                    inside = end <= len(text)  # else another text has the same doc_id
-                    np.add.at(change, first[inside], 1)
-                    np.add.at(change, end[inside], -1)
+                    np.add.at(change, first, 1)
+                    np.add.at(change, end, -1)
                     gone = np.cumsum(change[:-1]) > 0
                     if whole_characters:
                         character = np.cumsum((text & 0xC0) != 0x80)
@@ -350,7 +348,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, reach: int = 96, whole_char
                     rows.append((ids[s.first + i], len(text), int(gone.sum()), spans, text[~gone].tobytes()))
                 yield batch_of(rows, result).append_column("rest", rest.slice(s.first, s.rows))
 
-    joined = docs.join(windows, docs["key"] == windows["at_key"], "left").drop("key", "at_key")
+    joined = docs.join(windows, (docs["key"] == windows["at_key"]) & (docs["tag"] == windows["at_tag"]), "left").drop("key", "at_key", "tag", "at_tag")
     done = joined.mapInArrow(remove, f"{result}, rest {docs.schema['rest'].dataType.simpleString()}")
     return done.select(*(x.split()[0] for x in result.split(", ")), *(F.col(f"rest.c{i}").alias(c) for i, c in enumerate(keep)))
 

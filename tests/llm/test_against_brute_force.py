@@ -120,10 +120,12 @@ def test_ngram_jaccard(table):
 
 
 def test_ngram_blocks(docs, monkeypatch):
-    """Groups that are split into block pairs give the same classes."""
+    """Groups that are larger than a tile give the same classes, however many rounds of representatives they have."""
     want = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard(docs).collect()}
-    monkeypatch.setattr(ngram_join, "BLOCK", 2)
-    assert {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard(docs).collect()} == want
+    for block, rounds in ((2, 4), (3, 0), (4, 1)):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+        assert {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard(docs).collect()} == want
 
 
 def test_parity_bound():
