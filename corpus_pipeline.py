@@ -18,20 +18,27 @@ from evgraph.llm.toxicity import learn, score
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity, learned from those of docs that sf_dir labels, is under 0.3."""
+    """Documents whose toxicity, learned from those of docs that sf_dir labels, is under 0.3.
+
+    Each row is judged alone by its text; a null or empty one has no toxic window and stays. Null ids have no label. Repeated rows go or stay together.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score(docs, learn(docs, labels), docs.columns, "toxicity_of_text")
     return scored.filter(F.col("toxicity_of_text") < 0.3).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies; rows that repeat a doc_id count as copies.
+    """One document of each group of near copies: that with the smallest doc_id, then text hash; rows that repeat both are copies too.
 
-    A row without a doc_id can't be compared and stays.
+    Rows without a doc_id can't be compared, and texts without words (null ones too) have no copies: they stay. Rows that repeat a doc_id with another text are
+    documents of their own. An empty table gives no rows.
     """
-    first = ngram_jaccard(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    found = ngram_jaccard(docs).filter(F.col("group_id").isNotNull())
+    first = found.groupBy("group_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
+    wordless = F.length(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "")) == 0
+    same = (F.col("doc_id").cast("long") == F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash"))
+    kept = docs.join(first, same).dropDuplicates(["kept_id", "kept_hash"])
+    return kept.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull() | wordless))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +49,16 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of the documents whose tokens meet the targets of sources, languages and topics; rare values may come in copies."""
+    """A sample of the documents whose tokens meet the targets of sources, languages and topics; rare values may come in copies.
+
+    Null sources and languages are a value of their own; texts without words follow their cell; rows with equal doc_id and text share one fate.
+    """
     mixed = mix(docs).filter("kept").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return mixed.select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
+    """Token ids of each document; a null or empty text has none, and repeated rows get equal ids."""
     import public_tokenizers
 
     return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
