@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by inverted lists with an adaptive dimension scan.
 
-Vectors get one more coordinate, so that the largest inner product is the smallest Euclidean distance, and are rotated at random, so
+Vectors of unequal length get one more coordinate, so that the largest inner product is the smallest Euclidean distance. They are rotated at random, so
 that any block of columns is a random projection. k-means centres, fitted on a bounded sample, cut the table into lists; every row is
-indexed. A query probes its nearest lists. There a scan adds up squared differences column block by column block: after each one a
-hypothesis test compares the scaled partial distance with the distance of the query's k-th best so far, and candidates that
+indexed. A query first scans its nearest lists; the distance of its k-th best there goes with it to the other lists that it probes,
+but for those that lie wholly beyond it. A scan adds up squared differences column block by column block, nearest lists first: after each block a
+hypothesis test compares the scaled partial distance with the k-th best so far, which sinks from part to part, and candidates that
 fail it are abandoned. What is left is scored on the original vectors in double precision.
 
 Equal vectors collapse first: of each the k + 1 smallest ids can be among k nearest, so a vector that a third of the rows hold costs no more.
@@ -25,17 +26,21 @@ SAMPLE = 20_000  # vectors that fit the lists at most
 MOST_LISTS = 4096
 PART = 4096  # vectors that a task scans together: some lists, or a part of a long one
 RECALL = 0.96  # of the sample's neighbours that the probed lists hold
-EPSILON = 2.1  # of the hypothesis test: larger abandons later
+LEAD = 2  # lists that a query scans before it goes to the others
+STEP = 256  # candidates between two lowerings of the distance to beat
+QUANTILE = 2.33  # of the hypothesis test, in standard errors: a candidate as near as the k-th best fails one test in a hundred
 
 
 class Index:
-    """Rotation, centres and the constant that turns inner products into distances."""
+    """Rotation, centres and the constant that turns inner products into distances; none, if all vectors are of one length."""
 
-    def __init__(self, rotation: np.ndarray, centres: np.ndarray, longest: float):
+    def __init__(self, rotation: np.ndarray, centres: np.ndarray, longest: float | None):
         self.rotation, self.centres, self.longest = rotation, centres, longest
 
     def place(self, x: np.ndarray, query: bool) -> np.ndarray:
-        """Rotated vectors with the extra coordinate; a query's is zero. Longer vectors than the sample's longest get zero too."""
+        """Rotated vectors with the extra coordinate, if there is one; a query's is zero."""
+        if self.longest is None:
+            return x @ self.rotation
         extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, self.longest**2 - np.einsum("ij,ij->i", x, x)))
         return np.c_[x, extra] @ self.rotation
 
@@ -47,10 +52,10 @@ class Index:
         return np.take_along_axis(at, np.argsort(np.take_along_axis(d, at, 1), axis=1, kind="stable"), 1)
 
 
-def fit(sample: np.ndarray, longest: float, rows: int, seed: int = 7) -> Index:
+def fit(sample: np.ndarray, longest: float | None, rows: int, seed: int = 7) -> Index:
     """k-means with about sqrt(rows) centres on the placed sample."""
     rng = np.random.default_rng(seed)
-    dim = sample.shape[1] + 1
+    dim = sample.shape[1] + (longest is not None)
     rotation, _ = np.linalg.qr(rng.normal(size=(dim, dim)))
     index = Index(rotation, np.zeros((1, dim)), longest)
     x = index.place(sample, False)
@@ -63,7 +68,8 @@ def fit(sample: np.ndarray, longest: float, rows: int, seed: int = 7) -> Index:
         np.add.at(sums, own, x)
         count = np.bincount(own, minlength=k)[:, None]
         centres = np.where(count > 0, sums / np.maximum(1, count), centres)
-    index.centres = centres
+    # equal centres would tie, and a query could probe the empty ones of them
+    index.centres = np.unique(centres.round(9), axis=0)
     return index
 
 
@@ -100,24 +106,35 @@ def deal_lists(counts: dict[int, int], lists: int) -> tuple[np.ndarray, np.ndarr
     return first, parts
 
 
-def scan(query: np.ndarray, placed: list[np.ndarray], rows: np.ndarray, k: int, start: int = 256) -> np.ndarray:
-    """Those of the rows that may be among the k nearest to a placed query; placed: all columns, in blocks."""
-    dim, best = sum(b.shape[1] for b in placed), np.inf
-    if len(rows) > start >= k:  # the first rows in full give the distance to beat
-        full = sum(((b[rows[:start]] - query[at : at + b.shape[1]]) ** 2).sum(axis=1) for b, at in _at(placed))
-        best = np.partition(full, k - 1)[k - 1]
-    partial = np.zeros(len(rows))
-    for block, at in _at(placed):
-        step = block[rows] - query[at : at + block.shape[1]]
-        partial = partial + np.einsum("ij,ij->i", step, step)
-        seen = at + block.shape[1]
-        if best < np.inf and seen < dim:
-            keep = partial * (dim / seen) <= best * (1 + EPSILON / math.sqrt(seen)) ** 2
-            rows, partial = rows[keep], partial[keep]
-    if len(rows) > k:
-        edge = np.partition(partial, k - 1)[k - 1]
-        rows = rows[partial <= edge * (1 + 1e-9) + 1e-12]
-    return rows
+def scan(query: np.ndarray, placed: list[np.ndarray], parts: list[np.ndarray], k: int, best: float = math.inf, quantile: float = QUANTILE) -> tuple[np.ndarray, int]:
+    """Rows that may be among the k nearest to a placed query, and how many column values were read.
+
+    placed: all columns, in blocks; parts: candidate rows, those to be scanned first first; best: a squared distance that k others are known to keep. Under a
+    random rotation the root of (columns / columns seen) times the partial squared distance estimates the distance with a relative standard
+    error of sqrt((1 - seen / columns) / (2 * seen)) about.
+    """
+    dim = sum(b.shape[1] for b in placed)
+    rows_, far, read = np.zeros(0, np.int64), np.zeros(0), 0
+    rows = np.concatenate(parts) if parts else rows_
+    for start in range(0, len(rows), STEP):
+        now = rows[start : start + STEP]
+        partial = np.zeros(len(now))
+        for block, at in _at(placed):
+            width = block.shape[1]
+            step = block[now] - query[at : at + width]
+            partial = partial + np.einsum("ij,ij->i", step, step)
+            read, seen = read + step.size, at + width
+            if best < math.inf and seen < dim:
+                keep = partial * (dim / seen) <= best * (1 + quantile * math.sqrt((1 - seen / dim) / (2 * seen))) ** 2
+                now, partial = now[keep], partial[keep]
+                if not len(now):
+                    break
+        rows_, far = np.concatenate([rows_, now]), np.concatenate([far, partial])
+        if len(far) >= k:
+            best = min(best, float(np.partition(far, k - 1)[k - 1]))
+            near = far <= best * (1 + 1e-9) + 1e-12
+            rows_, far = rows_[near], far[near]
+    return rows_, read
 
 
 def _at(placed: list[np.ndarray]) -> Iterator[tuple[np.ndarray, int]]:
@@ -150,10 +167,12 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int
         return df.groupBy("vec_id").agg(F.min("v").alias("v"))
 
     rows, asks = clean(vectors), clean(queries)
-    common = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).orderBy(F.desc("n"), "dim").first()
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    common = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(square).alias("square"), F.min(square).alias("least")).orderBy(F.desc("n"), "dim").first()
     if common is None:
         return spark.createDataFrame([], shape)
-    dim, total, longest = common.dim, common.n, math.sqrt(common.square)
+    dim, total = common.dim, common.n
+    longest = None if common.least > 0.9999 * common.square else math.sqrt(common.square)
     rows, asks = rows.filter(F.size("v") == dim), asks.filter(F.size("v") == dim)
     # of equal vectors only the k + 1 smallest ids can be returned, also to a query that is one of them
     order = Window.partitionBy("v").orderBy("vec_id")
@@ -167,38 +186,57 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int
     def own_list(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("v"), dim)
-            own = index.value.nearest(index.value.place(x, False), 1)[:, 0] if len(x) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(own.astype(np.int32))], names=["vec_id", "v", "list"])
+            placed = index.value.place(x, False)
+            own = index.value.nearest(placed, 1)[:, 0] if len(x) else np.zeros(0, np.int64)
+            off = np.linalg.norm(placed - index.value.centres[own], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(own.astype(np.int32)), pa.array(off)], names=["vec_id", "v", "list", "off"])
 
     # equal queries are asked once, for k + 1, so that each can leave out its own row
     asked = asks.groupBy("v").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "v")
-    indexed = store(rows.mapInArrow(own_list, "vec_id long, v array<double>, list int"), "lists")
-    counts = {r.list: r.n for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MOST_LISTS rows
-    deal = spark.sparkContext.broadcast(deal_lists(counts, lists))
+    indexed = store(rows.mapInArrow(own_list, "vec_id long, v array<double>, list int, off double"), "lists")
+    facts = indexed.groupBy("list").agg(F.count("*").alias("n"), F.max("off").alias("radius")).collect()  # at most MOST_LISTS rows
+    radius = np.zeros(lists)
+    radius[[r["list"] for r in facts]] = [r["radius"] for r in facts]
+    deal = spark.sparkContext.broadcast((*deal_lists({r["list"]: r["n"] for r in facts}, lists), radius))
+    indexed = indexed.drop("off")
 
     def dealt(batches) -> Iterator[pa.RecordBatch]:
-        first, parts = deal.value
+        first, parts, _ = deal.value
         for batch in batches:
             own = batch.column("list").to_numpy()
             shard = first[own] + batch.column("vec_id").to_numpy() % parts[own]
             yield batch.append_column("shard", pa.array(shard.astype(np.int32)))
 
-    def probed(batches) -> Iterator[pa.RecordBatch]:
-        first, parts = deal.value
-        for batch in batches:
-            x = _matrix(batch.column("v"), dim)
-            at, shards, wanted = [], [], []
-            for i, row in enumerate(index.value.nearest(index.value.place(x, True), near) if len(x) else ()):
-                shard = np.repeat(first[row], parts[row]) + np.concatenate([np.arange(n) for n in parts[row]])
-                row = np.repeat(row, parts[row])
-                order = np.argsort(shard, kind="stable")  # nearest lists first within a shard
-                shard, row = shard[order], row[order]
-                cut = np.flatnonzero(firsts(shard))
-                at += [i] * len(cut)
-                shards += shard[cut].tolist()
-                wanted += [r.astype(np.int32).tobytes() for r in np.split(row, cut[1:])]
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), batch.column("v").take(at), pa.array(shards, pa.int32()), pa.array(wanted, pa.binary())], names=["vec_id", "v", "shard", "lists"])
+    def probes_of(lead: bool):
+        def probed(batches) -> Iterator[pa.RecordBatch]:
+            """Each query with the lists of a shard that it probes: its nearest, or those behind them that its best distance reaches."""
+            first, parts, radius = deal.value
+            for batch in batches:
+                x = _matrix(batch.column("v"), dim)
+                best = np.array([math.inf if b is None else b for b in batch.column("best").to_pylist()], np.float64)
+                turned = index.value.place(x, True) if len(x) else x
+                at, shards, wanted = [], [], []
+                for i, row in enumerate(index.value.nearest(turned, near) if len(x) else ()):
+                    if lead:
+                        row = row[:LEAD]
+                    else:
+                        row = row[LEAD:]
+                        row = row[np.linalg.norm(index.value.centres[row] - turned[i], axis=1) - radius[row] <= math.sqrt(best[i])]
+                    if not len(row):
+                        continue
+                    shard = np.repeat(first[row], parts[row]) + np.concatenate([np.arange(n) for n in parts[row]])
+                    row = np.repeat(row, parts[row])
+                    order = np.argsort(shard, kind="stable")  # nearest lists first within a shard
+                    shard, row = shard[order], row[order]
+                    cut = np.flatnonzero(firsts(shard))
+                    at += [i] * len(cut)
+                    shards += shard[cut].tolist()
+                    wanted += [r.astype(np.int32).tobytes() for r in np.split(row, cut[1:])]
+                at = pa.array(at, pa.int64())
+                columns = [batch.column(c).take(at) for c in ("vec_id", "v", "best")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(shards, pa.int32()), pa.array(wanted, pa.binary())], names=["vec_id", "v", "best", "shard", "lists"])
+
+        return probed
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
@@ -211,9 +249,9 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int
             blocks = [np.ascontiguousarray(placed[:, i : i + block]) for i in range(0, placed.shape[1], block)]
             q = _matrix(right["v"], dim)
             turned = index.value.place(q, True)
-            for i, (query_id, wanted) in enumerate(zip(right["vec_id"].to_pylist(), right["lists"].to_pylist(), strict=True)):
-                at = np.concatenate([np.arange(edges[n], edges[n + 1]) for n in np.frombuffer(wanted, np.int32)])
-                at = scan(turned[i], blocks, at, k + 1)
+            for i, (query_id, wanted, best) in enumerate(zip(*(right[c].to_pylist() for c in ("vec_id", "lists", "best")), strict=True)):
+                parts = [np.arange(edges[n], edges[n + 1]) for n in np.frombuffer(wanted, np.int32)]
+                at, _ = scan(turned[i], blocks, parts, k + 1, math.inf if best is None else best)
                 score = x[at] @ q[i]
                 best = np.lexsort((ids[at], -score))[: k + 1]
                 out_q += [query_id] * len(best)
@@ -222,9 +260,18 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int
         return pa.table([pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_v) if out_v else [], pa.int64()), pa.array(np.concatenate(out_s) if out_s else [], pa.float64())], names=["asked", "vec_id", "score"])
 
     held = indexed.mapInArrow(dealt, "vec_id long, v array<double>, list int, shard int")
-    sent = asked.mapInArrow(probed, "vec_id long, v array<double>, shard int, lists binary")
-    found = held.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(search, "asked long, vec_id long, score double")
+
+    def found_in(queries: DataFrame, lead: bool) -> DataFrame:
+        sent = queries.mapInArrow(probes_of(lead), "vec_id long, v array<double>, best double, shard int, lists binary")
+        return held.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(search, "asked long, vec_id long, score double")
+
     top = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    leading = store(found_in(asked.withColumn("best", F.lit(None).cast("double")), True).withColumn("place", F.row_number().over(top)).filter(F.col("place") <= k + 1), "leading")
+    edge = leading.filter(F.col("place") == k + 1).select(F.col("asked").alias("vec_id"), F.col("score").alias("edge"))
+    # squared distance to the k-th best of the first lists, in the space of the index
+    beat = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) + F.lit(common.square) - 2 * F.col("edge")
+    later = asked.join(edge, "vec_id", "left").select("vec_id", "v", (F.greatest(beat, F.lit(0.0)) * (1 + 1e-6) + 1e-9).alias("best"))
+    found = leading.drop("place").unionByName(found_in(later, False))
     found = found.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= k + 1)
     # back to every query of the same vector, without its own row
     same = asks.withColumnRenamed("vec_id", "query_id").join(asked.withColumnRenamed("vec_id", "asked"), "v").select("query_id", "asked")
