@@ -10,55 +10,106 @@ targets and budget hold for expected tokens however rare a value is.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from evgraph.llm.shared import store
+from evgraph.llm.shared import hashed_sample, store
 
 TOPICS = 8
 OTHER = "und"
-MOST_LANGUAGES = 512
-
-
-def topic(text: Column, topics: int = TOPICS) -> Column:
-    """The hash bucket that most of the text's long lower-case words fall in; the first of equals, and 0 without such words."""
-    buckets = F.transform(F.regexp_extract_all(text, F.lit("[a-z]{9,}"), F.lit(0)), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(topics)).cast("int"))
+LEARN = 2000  # documents that the topics are learned from at most
+VOCABULARY = 2000  # words that tell topics at most
+
+
+class Topics:
+    """Topics learned from a bounded sample: spherical k-means of TF-IDF vectors over words that neither few nor most documents have."""
+
+    def __init__(self, texts: list[str | None], topics: int = TOPICS, seed: int = 3):
+        seen = [Counter((t or "").lower().split()) for t in texts]
+        df = Counter(w for c in seen for w in c)
+        usual = [w for w, n in df.items() if 5 <= n <= 0.5 * len(texts)]
+        self.words = {w: i for i, w in enumerate(sorted(usual, key=lambda w: (-df[w], w))[:VOCABULARY])}
+        self.count = topics
+        self.idf = np.array([math.log(len(texts) / df[w]) for w in self.words])
+        rows = [v for c in seen if (v := self.vector(c)) is not None]
+        x = np.stack(rows) if rows else np.zeros((0, len(self.words)))
+        runs = [_spherical(x, topics, np.random.default_rng(seed + i)) for i in range(5)] if len(x) else []
+        self.centres = max(runs, key=lambda c: (x @ c.T).max(axis=1).sum()) if runs else np.zeros((0, len(self.words)))
+
+    def vector(self, counts: Counter) -> np.ndarray | None:
+        known = [(self.words[w], n) for w, n in counts.items() if w in self.words]
+        if not known:
+            return None
+        v = np.zeros(len(self.words))
+        at, n = np.array(known).T
+        v[at] = (1 + np.log(n)) * self.idf[at]
+        return v / np.linalg.norm(v)
+
+    def of(self, text: str | None) -> int:
+        """The nearest topic, the first of equals; a text without any of the words has topic `count`."""
+        get, known = self.words.get, Counter()
+        known.update(i for w in (text or "").lower().split() if (i := get(w)) is not None)
+        if not known or not len(self.centres):
+            return self.count
+        at, n = np.array(list(known.items())).T
+        return int(np.argmax(self.centres[:, at] @ ((1 + np.log(n)) * self.idf[at])))
+
+
+def _spherical(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 20) -> np.ndarray:
+    """k-means by cosine; each first centre is drawn among rows in proportion to how unlike the ones before they are."""
+    centres = x[rng.integers(len(x))][None]
+    while len(centres) < min(k, len(x)):
+        unlike = np.maximum(0, 1 - (x @ centres.T).max(axis=1)) ** 2 + 1e-12
+        centres = np.r_[centres, x[rng.choice(len(x), p=unlike / unlike.sum())][None]]
+    for _ in range(rounds):
+        own = np.argmax(x @ centres.T, axis=1)
+        sums = np.stack([x[own == i].sum(axis=0) if (own == i).any() else c for i, c in enumerate(centres)])
+        centres = sums / np.maximum(1e-12, np.linalg.norm(sums, axis=1, keepdims=True))
+    return centres
 
-    def held(b: Column, k: int) -> Column:
-        return F.size(F.filter(b, lambda x: x == k))
 
-    def fullest(b: Column) -> Column:
-        sizes = F.array(*(held(b, k) for k in range(topics)))
-        return F.transform(F.array(sizes), lambda n: F.array_position(n, F.array_max(n)) - 1)[0]
+def described(docs: DataFrame, topics: Topics) -> DataFrame:
+    """docs with mix_source, mix_lang, mix_topic and mix_tokens (words of the whole text; none if null)."""
+    sent = docs.sparkSession.sparkContext.broadcast(topics)
 
-    return F.transform(F.array(buckets), fullest)[0].cast("int")
+    def add(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = pa.array([sent.value.of(t.as_py()) for t in batch.column("text")], pa.int32())
+            yield batch.append_column("mix_topic", at)
 
+    kind = StructType([*docs.schema.fields, StructField("mix_topic", IntegerType())])
+    words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), ""))
+    named = {"mix_source": F.coalesce("source", F.lit(OTHER)), "mix_lang": F.coalesce("lang", F.lit(OTHER)), "mix_tokens": words.cast("long")}
+    return docs.select(docs.columns).mapInArrow(add, kind).withColumns(named)
 
-def described(docs: DataFrame) -> DataFrame:
-    """docs with mix_source, mix_lang, mix_topic and mix_tokens (words of the whole text; none if null)."""
-    text = F.coalesce("text", F.lit(""))
-    words = F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""))
-    return docs.withColumns(
-        {
-            "mix_source": F.coalesce("source", F.lit(OTHER)),
-            "mix_lang": F.coalesce("lang", F.lit(OTHER)),
-            "mix_topic": topic(text),
-            "mix_tokens": words.cast("long"),
-        }
-    )
 
+def shares(tokens: dict, power: float, given: dict | None = None) -> dict:
+    """Target shares: those given, and what they leave for the other values in proportion to tokens ** power.
 
-def smoothed(tokens: dict, power: float) -> dict:
-    """Target shares in proportion to tokens ** power; values without tokens get none."""
-    raised = {k: n**power if n > 0 else 0.0 for k, n in tokens.items()}
-    total = sum(raised.values())
-    return {k: x / total for k, x in raised.items()} if total else raised
+    Values without tokens get none of the rest; a given value that isn't in the table keeps its share, which can't be met.
+    """
+    given = given or {}
+    raised = {k: n**power for k, n in tokens.items() if n > 0 and k not in given}
+    rest, total = max(0.0, 1 - sum(given.values())), sum(raised.values())
+    over = max(1.0, sum(given.values())) if total or not given else sum(given.values())
+    out = dict.fromkeys(tokens, 0.0) | {k: x / total * rest for k, x in raised.items()}
+    return out | {k: x / over for k, x in given.items()}
 
 
 def _factor(column: str, factors: dict) -> Column:
     """A short table of factors as one expression."""
-    return F.element_at(F.create_map(*(F.lit(x) for pair in factors.items() for x in pair)), F.col(column)) if factors else F.lit(0.0)
+    return F.element_at(_map(factors), F.col(column)) if factors else F.lit(0.0)
+
+
+def _map(factors: dict) -> Column:
+    """The table as one literal, whatever its length."""
+    return F.map_from_arrays(F.lit(list(factors)), F.lit([float(x) for x in factors.values()]))
 
 
 class Mixture:
@@ -83,38 +134,44 @@ class Mixture:
         return docs.withColumn("kept", F.col("copies") > 0)
 
 
-def rake(cells: DataFrame, budget: float, source_power: float, lang_power: float, topic_power: float, rounds: int = 100, tolerance: float = 1e-6) -> Mixture:
-    """Rake cells (mix_source, mix_lang, mix_topic, tokens) to targets in proportion to powers of the marginals.
+def rake(cells: DataFrame, budget: float, source_power: float, lang_power: float, topic_power: float, rounds: int = 100, tolerance: float = 1e-6, targets: dict[str, dict] | None = None) -> Mixture:
+    """Rake cells (mix_source, mix_lang, mix_topic, tokens) to the given targets, and others in proportion to powers of the marginals.
 
     Rounds end when no language or topic is off by more than tolerance of all tokens (sources match exactly in each round), or
-    after `rounds`; gap tells how far the last was off. budget: the tokens of the sample, copies included, as a share of all tokens.
+    after `rounds`; gap tells how far the last was off, and so whether the targets can be met together. targets: shares by "source", "lang" and "topic". budget: the tokens of the sample, copies included, as a share of all tokens.
     """
     by_source = cells.groupBy("mix_source").agg(F.sum("tokens").alias("n"), F.collect_list(F.struct("mix_lang", "mix_topic", "tokens")).alias("cells"))
     by_source = store(by_source, "mixture")
     flat = by_source.select("mix_source", "n", F.explode("cells").alias("c")).select("mix_source", "n", "c.*")
     matrix = {(r.mix_lang, r.mix_topic): r.w for r in flat.groupBy("mix_lang", "mix_topic").agg(F.sum("tokens").alias("w")).collect()}
-    total = by_source.agg(F.sum("n"), F.sum(F.pow("n", F.lit(source_power)))).first()
-    tokens, raised = total[0] or 0, total[1] or 0.0
+    given = targets or {}
+    named = {k: float(x) for k, x in given.get("source", {}).items()}
+    raised = F.pow(F.when(F.col("mix_source").isin(list(named)) | (F.col("n") == 0), None).otherwise(F.col("n")), F.lit(source_power))
+    held = F.sum(F.when(F.col("mix_source").isin(list(named)) & (F.col("n") > 0), F.element_at(_map(named), F.col("mix_source")))) if named else F.lit(None)
+    total = by_source.agg(F.sum("n"), F.sum(raised), held).first()
+    tokens, others = total[0] or 0, total[1] or 0.0
     lang_n, topic_n = {}, {}
     for (lang, at), w in matrix.items():
         lang_n[lang] = lang_n.get(lang, 0) + w
         topic_n[at] = topic_n.get(at, 0) + w
-    if len(lang_n) > MOST_LANGUAGES:
-        raise ValueError(f"{len(lang_n)} languages; map rare ones to one name first")
-    lang_goal, topic_goal = smoothed(lang_n, lang_power), smoothed(topic_n, topic_power)
+    lang_goal, topic_goal = shares(lang_n, lang_power, given.get("lang")), shares(topic_n, topic_power, given.get("topic"))
     languages, topics = dict.fromkeys(lang_n, 1.0), dict.fromkeys(topic_n, 1.0)
     if not tokens:
         return Mixture(by_source.select("mix_source", F.lit(0.0).alias("a")), languages, topics, 0.0, 0.0)
-    share = F.pow("n", F.lit(source_power)) / raised * tokens
+    # what the table lacks of its targets counts in the gap, and the sample keeps its size
+    rest = max(0.0, 1 - sum(named.values())) if others else 0.0
+    present = (total[2] or 0.0) + rest
+    missing = max(1 - present, 0.0) if named else 0.0
+    share = (F.coalesce(raised / (others or 1.0) * rest, F.lit(0.0)) + (F.coalesce(F.element_at(_map(named), F.col("mix_source")), F.lit(0.0)) if named else F.lit(0.0))) / (present or 1.0) * tokens
 
     def source_factors() -> Column:
         each = F.transform("cells", lambda c: c["tokens"] * F.element_at(lang_map, c["mix_lang"]) * F.element_at(topic_map, c["mix_topic"]))
-        return share / F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+        mass = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+        return F.when(mass > 0, share / mass).otherwise(0.0)
 
     gap = math.inf
     for _ in range(rounds):
-        lang_map = F.create_map(*(F.lit(x) for p in languages.items() for x in p))
-        topic_map = F.create_map(*(F.lit(x) for p in topics.items() for x in p))
+        lang_map, topic_map = _map(languages), _map(topics)
         scaled = by_source.select(source_factors().alias("a"), F.explode("cells").alias("c"))
         rows = scaled.groupBy("c.mix_lang", "c.mix_topic").agg(F.sum(F.col("a") * F.col("c.tokens")).alias("w")).collect()
         m = {(r.mix_lang, r.mix_topic): r.w for r in rows}
@@ -122,8 +179,8 @@ def rake(cells: DataFrame, budget: float, source_power: float, lang_power: float
         for (lang, at), w in m.items():
             lang_sum[lang] += w * languages[lang] * topics[at]
             topic_sum[at] += w * languages[lang] * topics[at]
-        off = [lang_sum[k] - lang_goal[k] * tokens for k in languages] + [topic_sum[k] - topic_goal[k] * tokens for k in topics]
-        gap = max(abs(x) for x in off) / tokens
+        off = [lang_sum.get(k, 0.0) - x * tokens for k, x in lang_goal.items()] + [topic_sum.get(k, 0.0) - x * tokens for k, x in topic_goal.items()]
+        gap = max([abs(x) / tokens for x in off] + [missing])
         if gap <= tolerance:
             break
         # the matrix of this round serves both short vectors until they agree with it
@@ -139,18 +196,25 @@ def rake(cells: DataFrame, budget: float, source_power: float, lang_power: float
     return Mixture(sources, languages, topics, budget, gap)
 
 
-def mix(docs: DataFrame, budget: float = 0.7, source_power: float = 0.7, lang_power: float = 0.7, topic_power: float = 0.9) -> DataFrame:
-    """docs with mix_source, mix_lang, mix_topic, mix_tokens, weight, keep_p, copies and kept.
+def mix(docs: DataFrame, budget: float = 0.7, source_power: float = 0.7, lang_power: float = 0.7, topic_power: float = 0.9, targets: dict[str, dict] | None = None) -> DataFrame:
+    """docs with mix_source, mix_lang, mix_topic, mix_tokens, weight, keep_p, copies, kept and mix_gap.
 
-    docs: doc_id, text, lang, source and any other columns (columns of the names above are replaced). A null source or language is a value
-    of its own, `und`. Texts without words have no tokens: they weigh nothing in the margins, and get the expected copies of
+    docs: doc_id, text, lang, source and any other columns (columns of the names above are replaced). targets: shares of tokens by value, as
+    {"source": {...}, "lang": {...}, "topic": {...}}; values that aren't named share the rest in proportion to their tokens to the given power, and so do
+    all values of a margin without targets. mix_gap double: the largest difference of a margin from its target, as a share of all tokens; it
+    stays above 1e-6 where targets can't be met together, or name values that have no tokens. A null source or language is a value
+    of its own, `und`. Topics are learned from at most LEARN documents, the first by a hash of doc_id, and given to all by their whole texts. The driver holds one
+    number for each pair of language and topic. Texts without words have no tokens: they weigh nothing in the margins, and get the expected copies of
     their cell (none, if no text with words shares it). Rows with equal doc_id and text share one fate. An empty table gives no rows.
     """
-    clash = ["mix_source", "mix_lang", "mix_topic", "mix_tokens", "weight", "keep_p", "copies", "kept", "a"]
-    rows = described(docs.drop(*clash))
+    clash = ["mix_source", "mix_lang", "mix_topic", "mix_tokens", "weight", "keep_p", "copies", "kept", "mix_gap", "a"]
+    docs = docs.drop(*clash)
+    sample = hashed_sample(docs.select("doc_id", "text").filter(F.col("text").isNotNull()), "doc_id", docs.count(), LEARN)
+    rows = described(docs, Topics([r["text"] for r in sample.toArrow().to_pylist()]))
     # tasks add up their own cells before they send, so a hot source costs no more than others
     cells = rows.groupBy("mix_source", "mix_lang", "mix_topic").agg(F.sum("mix_tokens").alias("tokens"))
-    return rake(cells, budget, source_power, lang_power, topic_power).sample(rows)
+    mixture = rake(cells, budget, source_power, lang_power, topic_power, targets=targets)
+    return mixture.sample(rows).withColumn("mix_gap", F.lit(float(mixture.gap)))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

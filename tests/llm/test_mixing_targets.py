@@ -50,6 +50,52 @@ def test_expected_tokens_meet_targets_and_budget(hot, budget):
     assert max(r.keep_p for r in rows) > 1
 
 
+def test_given_targets_are_met_and_infeasible_ones_told(hot):
+    plain = margins(hot_rows := mixing.mix(hot).collect(), "mix_lang", lambda r: 1)
+    assert len(plain) == 3 and hot_rows[0].mix_gap < 1e-5
+    rows = mixing.mix(hot, targets={"source": {"hot": 0.1, "s0": 0.2}, "lang": {"en": 0.5, "de": 0.3, "is": 0.2}}).collect()
+    by_source, by_lang = margins(rows, "mix_source", lambda r: r.keep_p), margins(rows, "mix_lang", lambda r: r.keep_p)
+    assert abs(by_source["hot"] - 0.1) < 1e-5 and abs(by_source["s0"] - 0.2) < 1e-5
+    assert all(abs(by_lang[k] - x) < 1e-5 for k, x in (("en", 0.5), ("de", 0.3), ("is", 0.2))) and rows[0].mix_gap < 1e-5
+    lost = mixing.mix(hot, targets={"lang": {"xx": 0.25}}).first()
+    assert abs(lost.mix_gap - 0.25) < 0.26 and lost.mix_gap > 0.1
+
+
+def test_raking_twin(hot):
+    """The factors are those of plain raking over the cells."""
+    rows = mixing.mix(hot).collect()
+    cells = Counter()
+    for r in rows:
+        cells[(r.mix_source, r.mix_lang, r.mix_topic)] += r.mix_tokens
+    total, w = sum(cells.values()), {k: float(n) for k, n in cells.items()}
+    goals = []
+    for at, (_, power) in enumerate(POWERS):
+        plain = Counter()
+        for k, n in cells.items():
+            plain[k[at]] += n
+        raised = {k: n**power for k, n in plain.items()}
+        goals.append({k: x / sum(raised.values()) * total for k, x in raised.items()})
+    for _ in range(300):
+        for at in (1, 2, 0):
+            now = Counter()
+            for k, x in w.items():
+                now[k[at]] += x
+            w = {k: x * goals[at][k[at]] / now[k[at]] for k, x in w.items()}
+    assert all(abs(r.weight - w[(r.mix_source, r.mix_lang, r.mix_topic)] / cells[(r.mix_source, r.mix_lang, r.mix_topic)]) < 1e-3 for r in rows)
+
+
+def test_topics_are_learned_and_many_languages_run(spark):
+    rng, rows = random.Random(7), []
+    kinds = [[f"{a}word{i}" for i in range(30)] for a in ("sport", "law", "music")]
+    for i in range(900):
+        rows.append((i, " ".join(rng.choice(kinds[i % 3]) for _ in range(40)), f"l{i % 600}", "s"))
+    topics = mixing.Topics([r[1] for r in rows], 3)
+    own = [{topics.of(r[1]) for r in rows if r[0] % 3 == k} for k in range(3)]
+    assert all(len(x) == 1 for x in own) and len(set.union(*own)) == 3
+    assert topics.of(None) == topics.of("unseen") == 3 and mixing.Topics([]).of("a") == 8
+    assert mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).count() == 900
+
+
 def test_copies_follow_expectation(spark, hot):
     rows = mixing.mix(hot).collect()
     assert all(int(r.keep_p) <= r.copies <= int(r.keep_p) + 1 and r.kept == (r.copies > 0) for r in rows)
