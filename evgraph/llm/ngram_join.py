@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from evgraph.llm.repeats import repeat_filter
 from evgraph.llm.shared import batch_of, store, text_bytes
 from evgraph.llm.text import U64, Slice, full_windows, lower_ascii, mix, slices, window_hashes, word_hashes
 
-BLOCK = 512  # sets of a tile; a task compares one tile, or one with another
+BLOCK = 2048  # sets of a tile; a task compares one tile, or one with another
 ROUNDS = 4  # of representatives, before the rest is compared in full
 
 
@@ -180,17 +181,24 @@ def _passing_links(percent: int):
     return links
 
 
-def _heads(percent: int):
+def _heads(percent: int, carry: bool = False):
     def heads(table: pa.Table) -> pa.Table:
-        """The head (smallest set) of each set's class, by the links within a tile."""
+        """The head (smallest set) of each set's class, by the links within a tile. carry: heads bring what the next round compares."""
         ids, sizes = table["doc"].to_pylist(), table["n"].to_numpy().astype(np.int64)
         order = np.array(sorted(range(len(ids)), key=ids.__getitem__))
         table, ids, sizes = table.take(pa.array(order)), [ids[i] for i in order], sizes[order]
         classes = Classes(len(ids))
         for _ in _joins(classes, table["bits"].to_pylist(), sizes, _arrays(table), np.arange(len(ids)), None, percent):
             pass
-        head = [ids[i] for i in classes.roots(np.arange(len(ids)))]
-        return pa.table([pa.array(ids, pa.binary()), pa.array(head, pa.binary())], names=["doc", "head"])
+        root = classes.roots(np.arange(len(ids)))
+        out = pa.table([pa.array(ids, pa.binary()), pa.array([ids[i] for i in root], pa.binary())], names=["doc", "head"])
+        if not carry:
+            return out
+        others = pa.array(root != np.arange(len(ids)))
+        for name in ("component", "n", "bits", "hashes"):
+            column = table[name].combine_chunks()
+            out = out.append_column(name, column if name == "component" else pc.if_else(others, pa.scalar(None, column.type), column))
+        return out
 
     return heads
 
@@ -214,25 +222,31 @@ def large_group_classes(rows: DataFrame, percent: int) -> DataFrame:
     rows: component, doc, n, bits, hashes.
     """
     rows = store(rows, "large-groups")
-    labels = rows.select("component", "doc", F.col("doc").alias("label"))
-    before = None
+    labels, heads, before = rows.select("component", "doc", F.col("doc").alias("label")), rows, None
+    kind = "doc binary, head binary, component binary, n long, bits binary, hashes binary"
     for turn in range(ROUNDS):
-        heads = labels.filter("doc = label").select("component", "doc")
         sizes = heads.groupBy("component").agg(F.count("*").alias("m"))
-        total = sizes.agg(F.sum("m"), F.max("m")).first()
-        if not total[0] or (before is not None and (total[0] > 0.9 * before or total[1] == 1)):
+        total, most = sizes.agg(F.sum("m"), F.max("m")).first()
+        if not total or most == 1 or (before is not None and total > 0.9 * before):
             break
-        before = total[0]
-        tiles = heads.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("doc", F.lit(turn)), F.ceil(F.col("m") / BLOCK)))
-        tiles = tiles.join(rows.select("doc", "n", "bits", "hashes"), "doc")
-        found = tiles.groupBy("component", "tile").applyInArrow(_heads(percent), "doc binary, head binary")
+        before = total
+        tile = F.pmod(F.xxhash64("doc", F.lit(turn)), F.ceil(F.col("m") / BLOCK)).alias("tile")
+        tiles = heads.join(sizes, "component").select("component", tile, "doc", "n", "bits", "hashes")
+        found = store(tiles.groupBy("component", "tile").applyInArrow(_heads(percent, True), kind), "large-group-heads")
+        heads = found.filter("doc = head").drop("head")
         labels = labels.join(found.select(F.col("doc").alias("label"), "head"), "label").select("component", "doc", F.col("head").alias("label"))
         labels = store(labels, "large-group-labels")
     sizes = labels.groupBy("component", "label").agg(F.count("*").alias("m"))
     largest = sizes.groupBy("component").agg(F.max(F.struct("m", "label")).alias("top")).select("component", F.col("top.label").alias("top"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int") if percent < 100 else F.col("n").cast("int")
-    facts = rows.select("component", "doc", "n", "bits", "hashes", band.alias("band"))
-    sets_ = store(labels.join(largest, "component").join(facts, ["component", "doc"]).withColumn("stray", F.col("label") != F.col("top")).drop("top"), "large-group-sets")
+    marked = labels.join(largest, "component").select("component", "doc", "label", (F.col("label") != F.col("top")).alias("stray"))
+    # groups that are one class by now need no more
+    open_ = marked.filter("stray").select("component").distinct()
+    marked = store(marked.join(open_, "component", "left_semi"), "large-group-strays")
+    if marked.isEmpty():
+        return labels.select("doc", "label")
+    facts = rows.select("doc", "n", "bits", "hashes", band.alias("band"))
+    sets_ = store(marked.join(facts, "doc"), "large-group-sets")
     strays = sets_.filter("stray").groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK).alias("ask_tiles"))
     # the tiles of a band's sets that strays of its own and the neighbouring bands meet
     near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("near")

@@ -43,8 +43,9 @@ def test_near_duplicates_keep_each_text(spark, make):
     assert sorted((r.doc_id, r.text) for r in kept) == sorted([(5, a), (5, b), (8, ""), (8, ""), (9, "")])
 
 
-def test_a_large_group_of_near_copies_is_one_class(spark):
+def test_a_large_group_of_near_copies_is_one_class(spark, monkeypatch):
     """More near copies than a tile holds, some linked to no representative but through others."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 256)
     rng = random.Random(5)
     base = texts(6, 80)[0].split()
     rows = []
