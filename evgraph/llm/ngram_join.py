@@ -181,9 +181,9 @@ def _passing_links(percent: int):
     return links
 
 
-def _heads(percent: int, carry: bool = False):
+def _heads(percent: int):
     def heads(table: pa.Table) -> pa.Table:
-        """The head (smallest set) of each set's class, by the links within a tile. carry: heads bring what the next round compares."""
+        """The head (smallest set) of each set's class, by the links within a tile. Heads of large groups bring what the next round compares."""
         ids, sizes = table["doc"].to_pylist(), table["n"].to_numpy().astype(np.int64)
         order = np.array(sorted(range(len(ids)), key=ids.__getitem__))
         table, ids, sizes = table.take(pa.array(order)), [ids[i] for i in order], sizes[order]
@@ -192,9 +192,7 @@ def _heads(percent: int, carry: bool = False):
             pass
         root = classes.roots(np.arange(len(ids)))
         out = pa.table([pa.array(ids, pa.binary()), pa.array([ids[i] for i in root], pa.binary())], names=["doc", "head"])
-        if not carry:
-            return out
-        others = pa.array(root != np.arange(len(ids)))
+        others = pa.array((root != np.arange(len(ids))) | (not table["large"][0].as_py()))
         for name in ("component", "n", "bits", "hashes"):
             column = table[name].combine_chunks()
             out = out.append_column(name, column if name == "component" else pc.if_else(others, pa.scalar(None, column.type), column))
@@ -216,23 +214,30 @@ def _met_links(percent: int):
     return links
 
 
-def large_group_classes(rows: DataFrame, percent: int) -> DataFrame:
+_CLASSED = "doc binary, head binary, component binary, n long, bits binary, hashes binary"
+
+
+def tile_classes(sets_: DataFrame, sizes: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Classes within tiles of each component, as _CLASSED; sets_: component, doc, n, bits, hashes; sizes: component, m."""
+    tile = F.pmod(F.xxhash64("doc", F.lit(turn)), F.ceil(F.col("m") / BLOCK)).alias("tile")
+    large = ((F.col("m") > BLOCK) | F.lit(turn > 0)).alias("large")
+    tiles = sets_.join(sizes, "component").select("component", tile, large, "doc", "n", "bits", "hashes")
+    return store(tiles.groupBy("component", "tile").applyInArrow(_heads(percent), _CLASSED), "tile-classes")
+
+
+def large_group_classes(found: DataFrame, stand: DataFrame, percent: int) -> DataFrame:
     """(doc, label) of the sets of large groups: equal labels are linked, directly or through others of the group.
 
-    rows: component, doc, n, bits, hashes.
+    found: the classes within their tiles; stand: doc, n, bits, hashes of all sets.
     """
-    rows = store(rows, "large-groups")
-    labels, heads, before = rows.select("component", "doc", F.col("doc").alias("label")), rows, None
-    kind = "doc binary, head binary, component binary, n long, bits binary, hashes binary"
-    for turn in range(ROUNDS):
+    labels, heads, before = found.select("component", "doc", F.col("head").alias("label")), found.filter("doc = head").drop("head"), None
+    for turn in range(1, ROUNDS + 1):
         sizes = heads.groupBy("component").agg(F.count("*").alias("m"))
         total, most = sizes.agg(F.sum("m"), F.max("m")).first()
         if not total or most == 1 or (before is not None and total > 0.9 * before):
             break
         before = total
-        tile = F.pmod(F.xxhash64("doc", F.lit(turn)), F.ceil(F.col("m") / BLOCK)).alias("tile")
-        tiles = heads.join(sizes, "component").select("component", tile, "doc", "n", "bits", "hashes")
-        found = store(tiles.groupBy("component", "tile").applyInArrow(_heads(percent, True), kind), "large-group-heads")
+        found = tile_classes(heads, sizes, turn, percent)
         heads = found.filter("doc = head").drop("head")
         labels = labels.join(found.select(F.col("doc").alias("label"), "head"), "label").select("component", "doc", F.col("head").alias("label"))
         labels = store(labels, "large-group-labels")
@@ -245,7 +250,7 @@ def large_group_classes(rows: DataFrame, percent: int) -> DataFrame:
     marked = store(marked.join(open_, "component", "left_semi"), "large-group-strays")
     if marked.isEmpty():
         return labels.select("doc", "label")
-    facts = rows.select("doc", "n", "bits", "hashes", band.alias("band"))
+    facts = stand.select("doc", "n", "bits", "hashes", band.alias("band"))
     sets_ = store(marked.join(facts, "doc"), "large-group-sets")
     strays = sets_.filter("stray").groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK).alias("ask_tiles"))
     # the tiles of a band's sets that strays of its own and the neighbouring bands meet
@@ -318,12 +323,14 @@ def ngram_jaccard(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     wide = rows.filter(F.col("m") > BLOCK).select(F.col("doc").alias("u"), F.col("low").alias("v"))
     groups = store(components(passed.unionByName(wide)), "candidate-groups")
     sized = groups.groupBy("component").agg(F.count("*").alias("m"))
-    together = groups.join(sized, "component").select("component", F.col("node").alias("doc"), "m").join(stand.select("doc", "n", "bits", "hashes"), "doc")
-    small = together.filter(F.col("m") <= BLOCK).groupBy("component").applyInArrow(_heads(percent), "doc binary, head binary")
+    together = groups.select("component", F.col("node").alias("doc")).join(stand.select("doc", "n", "bits", "hashes"), "doc")
+    found = tile_classes(together, sized, 0, percent)
+    classes = found.select(F.col("doc").alias("class"), "head")
     if (sized.agg(F.max("m")).first()[0] or 0) > BLOCK:
-        large = large_group_classes(together.filter(F.col("m") > BLOCK).drop("m"), percent)
-        small = small.unionByName(large.withColumnRenamed("label", "head"))
-    classes = store(small.withColumnRenamed("doc", "class"), "classes")
+        big = sized.filter(F.col("m") > BLOCK).select("component")
+        large = large_group_classes(found.join(big, "component", "left_semi"), stand, percent)
+        small = found.join(big, "component", "left_anti").select(F.col("doc").alias("class"), "head")
+        classes = store(small.unionByName(large.select(F.col("doc").alias("class"), F.col("label").alias("head"))), "classes")
     # a set without candidates is a class of its own; the smallest doc_id of a class names it
     named_sets = members.filter(F.col("class").isNotNull() & F.col("doc_id").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
     headed = named_sets.join(classes, "class", "left").withColumn("head", F.coalesce("head", "class"))
