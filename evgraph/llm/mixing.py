@@ -9,84 +9,41 @@ targets and budget hold for expected tokens however rare a value is.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
-from evgraph.llm.shared import hashed_sample, store
+from evgraph.llm.shared import store
 
 TOPICS = 8
 OTHER = "und"
-LEARN = 2000  # documents that the topics are learned from at most
-VOCABULARY = 2000  # words that tell topics at most
-
-
-class Topics:
-    """Topics learned from a bounded sample: spherical k-means of TF-IDF vectors over words that neither few nor most documents have."""
-
-    def __init__(self, texts: list[str | None], topics: int = TOPICS, seed: int = 3):
-        seen = [Counter((t or "").lower().split()) for t in texts]
-        df = Counter(w for c in seen for w in c)
-        usual = [w for w, n in df.items() if 5 <= n <= 0.5 * len(texts)]
-        self.words = {w: i for i, w in enumerate(sorted(usual, key=lambda w: (-df[w], w))[:VOCABULARY])}
-        self.count = topics
-        self.idf = np.array([math.log(len(texts) / df[w]) for w in self.words])
-        rows = [v for c in seen if (v := self.vector(c)) is not None]
-        x = np.stack(rows) if rows else np.zeros((0, len(self.words)))
-        runs = [_spherical(x, topics, np.random.default_rng(seed + i)) for i in range(5)] if len(x) else []
-        self.centres = max(runs, key=lambda c: (x @ c.T).max(axis=1).sum()) if runs else np.zeros((0, len(self.words)))
-
-    def vector(self, counts: Counter) -> np.ndarray | None:
-        known = [(self.words[w], n) for w, n in counts.items() if w in self.words]
-        if not known:
-            return None
-        v = np.zeros(len(self.words))
-        at, n = np.array(known).T
-        v[at] = (1 + np.log(n)) * self.idf[at]
-        return v / np.linalg.norm(v)
-
-    def of(self, text: str | None) -> int:
-        """The nearest topic, the first of equals; a text without any of the words has topic `count`."""
-        get, known = self.words.get, Counter()
-        known.update(i for w in (text or "").lower().split() if (i := get(w)) is not None)
-        if not known or not len(self.centres):
-            return self.count
-        at, n = np.array(list(known.items())).T
-        return int(np.argmax(self.centres[:, at] @ ((1 + np.log(n)) * self.idf[at])))
-
-
-def _spherical(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 20) -> np.ndarray:
-    """k-means by cosine; each first centre is drawn among rows in proportion to how unlike the ones before they are."""
-    centres = x[rng.integers(len(x))][None]
-    while len(centres) < min(k, len(x)):
-        unlike = np.maximum(0, 1 - (x @ centres.T).max(axis=1)) ** 2 + 1e-12
-        centres = np.r_[centres, x[rng.choice(len(x), p=unlike / unlike.sum())][None]]
-    for _ in range(rounds):
-        own = np.argmax(x @ centres.T, axis=1)
-        sums = np.stack([x[own == i].sum(axis=0) if (own == i).any() else c for i, c in enumerate(centres)])
-        centres = sums / np.maximum(1e-12, np.linalg.norm(sums, axis=1, keepdims=True))
-    return centres
 
 
-def described(docs: DataFrame, topics: Topics) -> DataFrame:
-    """docs with mix_source, mix_lang, mix_topic and mix_tokens (words of the whole text; none if null)."""
-    sent = docs.sparkSession.sparkContext.broadcast(topics)
+def topic(text: Column, topics: int = TOPICS) -> Column:
+    """The hash bucket that most of the text's long lower-case words fall in; the first of equals, and 0 without such words."""
+    buckets = F.transform(F.regexp_extract_all(text, F.lit("[a-z]{9,}"), F.lit(0)), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(topics)).cast("int"))
+
+    def held(b: Column, k: int) -> Column:
+        return F.size(F.filter(b, lambda x: x == k))
 
-    def add(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = pa.array([sent.value.of(t.as_py()) for t in batch.column("text")], pa.int32())
-            yield batch.append_column("mix_topic", at)
+    def fullest(b: Column) -> Column:
+        sizes = F.array(*(held(b, k) for k in range(topics)))
+        return F.transform(F.array(sizes), lambda n: F.array_position(n, F.array_max(n)) - 1)[0]
 
-    kind = StructType([*docs.schema.fields, StructField("mix_topic", IntegerType())])
-    words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), ""))
-    named = {"mix_source": F.coalesce("source", F.lit(OTHER)), "mix_lang": F.coalesce("lang", F.lit(OTHER)), "mix_tokens": words.cast("long")}
-    return docs.select(docs.columns).mapInArrow(add, kind).withColumns(named)
+    return F.transform(F.array(buckets), fullest)[0].cast("int")
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """docs with mix_source, mix_lang, mix_topic and mix_tokens (words of the whole text; none if null)."""
+    text = F.coalesce("text", F.lit(""))
+    words = F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""))
+    return docs.withColumns(
+        {
+            "mix_source": F.coalesce("source", F.lit(OTHER)),
+            "mix_lang": F.coalesce("lang", F.lit(OTHER)),
+            "mix_topic": topic(text),
+            "mix_tokens": words.cast("long"),
+        }
+    )
 
 
 def shares(tokens: dict, power: float, given: dict | None = None) -> dict:
@@ -169,7 +126,7 @@ def rake(cells: DataFrame, budget: float, source_power: float, lang_power: float
         mass = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
         return F.when(mass > 0, share / mass).otherwise(0.0)
 
-    gap = math.inf
+    gaps = []
     for _ in range(rounds):
         lang_map, topic_map = _map(languages), _map(topics)
         scaled = by_source.select(source_factors().alias("a"), F.explode("cells").alias("c"))
@@ -180,20 +137,23 @@ def rake(cells: DataFrame, budget: float, source_power: float, lang_power: float
             lang_sum[lang] += w * languages[lang] * topics[at]
             topic_sum[at] += w * languages[lang] * topics[at]
         off = [lang_sum.get(k, 0.0) - x * tokens for k, x in lang_goal.items()] + [topic_sum.get(k, 0.0) - x * tokens for k, x in topic_goal.items()]
-        gap = max([abs(x) / tokens for x in off] + [missing])
-        if gap <= tolerance:
+        gaps.append(max([abs(x) / tokens for x in off] + [missing]))
+        # targets that can't be met together come no nearer
+        if gaps[-1] <= tolerance or (len(gaps) > 10 and gaps[-1] > 0.98 * gaps[-11]):
             break
         # the matrix of this round serves both short vectors until they agree with it
         for _ in range(20):
-            for lang in languages:
-                s = sum(w * topics[at] for (g, at), w in m.items() if g == lang)
-                languages[lang] = lang_goal[lang] * tokens / s if s else 0.0
-            for at in topics:
-                s = sum(w * languages[g] for (g, k), w in m.items() if k == at)
-                topics[at] = topic_goal[at] * tokens / s if s else 0.0
+            held = dict.fromkeys(languages, 0.0)
+            for (g, k), w in m.items():
+                held[g] += w * topics[k]
+            languages = {g: lang_goal[g] * tokens / x if x else 0.0 for g, x in held.items()}
+            held = dict.fromkeys(topics, 0.0)
+            for (g, k), w in m.items():
+                held[k] += w * languages[g]
+            topics = {k: topic_goal[k] * tokens / x if x else 0.0 for k, x in held.items()}
     sources = store(by_source.select("mix_source", source_factors().alias("a")), "mixture-factors")
     # the last step met the sources' targets, which add up to all tokens
-    return Mixture(sources, languages, topics, budget, gap)
+    return Mixture(sources, languages, topics, budget, gaps[-1])
 
 
 def mix(docs: DataFrame, budget: float = 0.7, source_power: float = 0.7, lang_power: float = 0.7, topic_power: float = 0.9, targets: dict[str, dict] | None = None) -> DataFrame:
@@ -203,14 +163,12 @@ def mix(docs: DataFrame, budget: float = 0.7, source_power: float = 0.7, lang_po
     {"source": {...}, "lang": {...}, "topic": {...}}; values that aren't named share the rest in proportion to their tokens to the given power, and so do
     all values of a margin without targets. mix_gap double: the largest difference of a margin from its target, as a share of all tokens; it
     stays above 1e-6 where targets can't be met together, or name values that have no tokens. A null source or language is a value
-    of its own, `und`. Topics are learned from at most LEARN documents, the first by a hash of doc_id, and given to all by their whole texts. The driver holds one
+    of its own, `und`. The driver holds one
     number for each pair of language and topic. Texts without words have no tokens: they weigh nothing in the margins, and get the expected copies of
     their cell (none, if no text with words shares it). Rows with equal doc_id and text share one fate. An empty table gives no rows.
     """
     clash = ["mix_source", "mix_lang", "mix_topic", "mix_tokens", "weight", "keep_p", "copies", "kept", "mix_gap", "a"]
-    docs = docs.drop(*clash)
-    sample = hashed_sample(docs.select("doc_id", "text").filter(F.col("text").isNotNull()), "doc_id", docs.count(), LEARN)
-    rows = described(docs, Topics([r["text"] for r in sample.toArrow().to_pylist()]))
+    rows = described(docs.drop(*clash))
     # tasks add up their own cells before they send, so a hot source costs no more than others
     cells = rows.groupBy("mix_source", "mix_lang", "mix_topic").agg(F.sum("mix_tokens").alias("tokens"))
     mixture = rake(cells, budget, source_power, lang_power, topic_power, targets=targets)

@@ -84,18 +84,6 @@ def test_raking_twin(hot):
     assert all(abs(r.weight - w[(r.mix_source, r.mix_lang, r.mix_topic)] / cells[(r.mix_source, r.mix_lang, r.mix_topic)]) < 1e-3 for r in rows)
 
 
-def test_topics_are_learned_and_many_languages_run(spark):
-    rng, rows = random.Random(7), []
-    kinds = [[f"{a}word{i}" for i in range(30)] for a in ("sport", "law", "music")]
-    for i in range(900):
-        rows.append((i, " ".join(rng.choice(kinds[i % 3]) for _ in range(40)), f"l{i % 600}", "s"))
-    topics = mixing.Topics([r[1] for r in rows], 3)
-    own = [{topics.of(r[1]) for r in rows if r[0] % 3 == k} for k in range(3)]
-    assert all(len(x) == 1 for x in own) and len(set.union(*own)) == 3
-    assert topics.of(None) == topics.of("unseen") == 3 and mixing.Topics([]).of("a") == 8
-    assert mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).count() == 900
-
-
 def test_copies_follow_expectation(spark, hot):
     rows = mixing.mix(hot).collect()
     assert all(int(r.keep_p) <= r.copies <= int(r.keep_p) + 1 and r.kept == (r.copies > 0) for r in rows)
