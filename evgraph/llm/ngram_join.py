@@ -6,7 +6,8 @@ meet in tiles of neighbouring sizes (bands by the threshold ratio) and are compa
 as many shingles as differing bits at least, so bit counts bound the overlap from above. What passes makes candidate groups, in which links are
 verified by intersecting sorted arrays, but for pairs that are in one class already (their link changes nothing).
 
-A group of more than a tile's sets is never compared pair by pair: tiles of it are solved alone, then tiles of the classes' representatives, and so on;
+A key of more sets than a tile holds is split by size bands first: a band's sets meet those of the next, and only bands that are still too full make
+groups without comparisons. A group of more than a tile's sets is never compared pair by pair: tiles of it are solved alone, then tiles of the classes' representatives, and so on;
 near copies soon are one class. What is left are the sets outside of the group's largest class, which meet the sets of neighbouring bands, tile by tile.
 """
 
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.llm.components import components
@@ -68,8 +69,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """Parity of the shingles that fall on each bit; at least four bits a shingle, 64 at least."""
-    width = max(6, math.ceil(math.log2(max(1, len(h)) * 4)))
+    """Parity of the shingles that fall on each bit; at least two bits a shingle, 64 at least."""
+    width = max(6, math.ceil(math.log2(max(1, len(h)) * 2)))
     parity = np.bincount((mix(h) >> U64(64 - width)).astype(np.int64), minlength=1 << width) & 1
     return np.packbits(parity.astype(np.uint8)).tobytes()
 
@@ -173,7 +174,7 @@ def _arrays(table: pa.Table) -> list[np.ndarray]:
 
 def _passing_links(percent: int):
     def links(table: pa.Table) -> pa.Table:
-        """A spanning forest of the pairs of a key's sets that the bounds let pass."""
+        """A spanning forest of the pairs of a key's or cell's sets that the bounds let pass."""
         ids, sizes = table["doc"].to_pylist(), table["n"].to_numpy()
         found = list(_joins(Classes(len(ids)), table["bits"].to_pylist(), sizes, None, np.arange(len(ids)), None, percent))
         return pa.table([pa.array([ids[x] for x, _ in found], pa.binary()), pa.array([ids[y] for _, y in found], pa.binary())], names=["u", "v"])
@@ -214,6 +215,11 @@ def _met_links(percent: int):
     return links
 
 
+def size_band(percent: int) -> Column:
+    """Band of column n: sets that link are in one band or in neighbouring ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int") if percent < 100 else F.col("n").cast("int")
+
+
 _CLASSED = "doc binary, head binary, component binary, n long, bits binary, hashes binary"
 
 
@@ -243,25 +249,26 @@ def large_group_classes(found: DataFrame, stand: DataFrame, percent: int) -> Dat
         labels = store(labels, "large-group-labels")
     sizes = labels.groupBy("component", "label").agg(F.count("*").alias("m"))
     largest = sizes.groupBy("component").agg(F.max(F.struct("m", "label")).alias("top")).select("component", F.col("top.label").alias("top"))
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int") if percent < 100 else F.col("n").cast("int")
     marked = labels.join(largest, "component").select("component", "doc", "label", (F.col("label") != F.col("top")).alias("stray"))
     # groups that are one class by now need no more
     open_ = marked.filter("stray").select("component").distinct()
     marked = store(marked.join(open_, "component", "left_semi"), "large-group-strays")
     if marked.isEmpty():
         return labels.select("doc", "label")
-    facts = stand.select("doc", "n", "bits", "hashes", band.alias("band"))
+    facts = stand.select("doc", "n", "bits", "hashes", size_band(percent).alias("band"))
     sets_ = store(marked.join(facts, "doc"), "large-group-sets")
-    strays = sets_.filter("stray").groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK).alias("ask_tiles"))
-    # the tiles of a band's sets that strays of its own and the neighbouring bands meet
-    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("near")
-    tiles = sets_.groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK).alias("tiles"))
-    meet = tiles.select("component", "band", "tiles", near).join(strays.withColumnRenamed("band", "near"), ["component", "near"])
-    here = F.pmod(F.xxhash64("doc"), F.col("tiles"))
-    held = sets_.join(meet, ["component", "band"]).select("component", "band", "near", here.alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ask_tiles") - 1)).alias("ask_tile"), "label", "n", "bits", "hashes", F.lit(False).alias("asks"))
-    asks = sets_.filter("stray").withColumnRenamed("band", "near").join(meet, ["component", "near"])
-    asks = asks.select("component", "band", "near", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), F.pmod(F.xxhash64("doc"), F.col("ask_tiles")).alias("ask_tile"), "label", "n", "bits", "hashes", F.lit(True).alias("asks"))
-    linked = held.unionByName(asks).groupBy("component", "band", "near", "tile", "ask_tile").applyInArrow(_met_links(percent), "u binary, v binary")
+    # a band's sets are met by the strays of its own band and the one below, and by those of the one above for its sets that aren't strays
+    tiles = sets_.groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK).alias("tiles"), F.min("stray").alias("all_stray"))
+    below = (F.col("band") == F.col("own") - 1) & F.col("all_stray")
+    asks = sets_.filter("stray").withColumnRenamed("band", "own").withColumn("band", F.explode(F.array(F.col("own") - 1, "own", F.col("own") + 1)))
+    asks = asks.join(tiles, ["component", "band"]).filter(~below)
+    ask_tiles = asks.groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK).alias("ask_tiles"))
+    to_all = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    held = sets_.join(tiles, ["component", "band"]).join(ask_tiles, ["component", "band"])
+    held = held.select("component", "band", F.pmod(F.xxhash64("doc"), F.col("tiles")).alias("tile"), to_all("ask_tiles").alias("ask_tile"), "label", "n", "bits", "hashes", F.lit(False).alias("asks"))
+    asks = asks.join(ask_tiles, ["component", "band"])
+    asks = asks.select("component", "band", to_all("tiles").alias("tile"), F.pmod(F.xxhash64("doc"), F.col("ask_tiles")).alias("ask_tile"), "label", "n", "bits", "hashes", F.lit(True).alias("asks"))
+    linked = held.unionByName(asks).groupBy("component", "band", "tile", "ask_tile").applyInArrow(_met_links(percent), "u binary, v binary")
     joined = components(linked)
     out = labels.join(joined, F.col("label") == F.col("node"), "left")
     return out.select("doc", F.coalesce(joined["component"], "label").alias("label"))
@@ -314,13 +321,20 @@ def ngram_jaccard(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
 
     keyed = stand.select("doc", "keys").mapInArrow(exploded, "key long, doc binary")
     # keys with the same documents make the same comparisons: the smallest of them stays
-    met = keyed.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("doc").cast("decimal(20,0)")).alias("sum"), F.min("doc").alias("low"), F.max("doc").alias("high")).filter("m > 1")
-    kept = met.groupBy("m", "sum", "low", "high").agg(F.min("key").alias("key"))
-    rows = keyed.join(kept.select("key", "m", "low"), "key")
-    close = rows.filter(F.col("m") <= BLOCK).join(stand.select("doc", "n", "bits"), "doc")
-    passed = close.groupBy("key").applyInArrow(_passing_links(percent), "u binary, v binary")
-    # a key of more sets than a tile holds makes them one group without comparisons
-    wide = rows.filter(F.col("m") > BLOCK).select(F.col("doc").alias("u"), F.col("low").alias("v"))
+    members_of = [F.count("*").alias("m"), *(F.bit_xor(F.xxhash64("doc", F.lit(i))).alias(f"mark_{i}") for i in (1, 2))]
+    met = keyed.groupBy("key").agg(*members_of).filter("m > 1")
+    rows = keyed.join(met.groupBy("m", "mark_1", "mark_2").agg(F.min("key").alias("key")).select("key", "m"), "key")
+    # a key of more sets than a tile holds is split by size bands: a cell has the sets of a band and the next
+    banded = rows.filter(F.col("m") > BLOCK).select("key", "doc").join(stand.select("doc", size_band(percent).alias("band")), "doc")
+    banded = store(banded.select("key", F.explode(F.array(F.col("band") - 1, "band")).alias("cell"), "doc"), "wide-keys")
+    cells = banded.groupBy("key", "cell").agg(*members_of, F.min("doc").alias("low")).filter("m > 1")
+    cells = cells.groupBy("m", "mark_1", "mark_2", "low").agg(F.min(F.struct("key", "cell")).alias("at")).select("at.key", "at.cell", "m", "low")
+    banded = banded.join(cells, ["key", "cell"])
+    narrow = rows.filter(F.col("m") <= BLOCK).select("key", F.lit(None).cast("int").alias("cell"), "doc")
+    close = narrow.unionByName(banded.filter(F.col("m") <= BLOCK).select("key", "cell", "doc")).join(stand.select("doc", "n", "bits"), "doc")
+    passed = close.groupBy("key", "cell").applyInArrow(_passing_links(percent), "u binary, v binary")
+    # a cell that is still too full is one group without comparisons
+    wide = banded.filter(F.col("m") > BLOCK).select(F.col("doc").alias("u"), F.col("low").alias("v"))
     groups = store(components(passed.unionByName(wide)), "candidate-groups")
     sized = groups.groupBy("component").agg(F.count("*").alias("m"))
     together = groups.select("component", F.col("node").alias("doc")).join(stand.select("doc", "n", "bits", "hashes"), "doc")
