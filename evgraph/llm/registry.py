@@ -8,10 +8,13 @@ from evgraph.llm.bpe_chunks import op9_bpe_chunks
 from evgraph.llm.language_id import op1_language_id
 from evgraph.llm.mixing import op4_mixing
 from evgraph.llm.ngram_join import op8_ngram_join
+from evgraph.llm.periodic_runs import op12_periodic_runs
 from evgraph.llm.quality_rules import op6_quality_rules
 from evgraph.llm.ring_sharding import op10_ring_sharding
+from evgraph.llm.simhash_partitions import op13_simhash_partitions
 from evgraph.llm.substring_dedup import op7_substring_dedup
 from evgraph.llm.suffix_dedup import op5_suffix_dedup
+from evgraph.llm.token_alignment import op11_token_alignment
 from evgraph.llm.toxicity import op2_toxicity
 
 
@@ -27,6 +30,9 @@ def queries() -> dict:
         "op8_ngram_join": op8_ngram_join,
         "op9_bpe_chunks": op9_bpe_chunks,
         "op10_ring_sharding": op10_ring_sharding,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_simhash_partitions": op13_simhash_partitions,
     }
 
 

@@ -143,3 +143,16 @@ def full_windows(docs: np.ndarray, size: int) -> np.ndarray:
     if len(docs) < size:
         return np.zeros(0, np.int64)
     return np.flatnonzero(docs[: len(docs) - size + 1] == docs[size - 1 :])
+
+
+def join_words(s: Slice, starts: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The given words of each document joined by one space: the bytes, where each word begins in them, and where each document does."""
+    last = np.ones(len(docs), bool)
+    last[:-1] = docs[1:] != docs[:-1]
+    size = ends - starts + ~last
+    stop = np.cumsum(size)
+    begin = stop - size
+    out = np.append(s.data, np.uint8(32))[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(starts - begin, size)]
+    out[stop[~last] - 1] = 32
+    offsets = np.r_[0, stop][np.searchsorted(docs, np.arange(s.rows + 1))]
+    return out, begin, offsets

@@ -351,7 +351,7 @@ def test_pipeline_run(spark):
 
 
 def test_registry():
-    assert [k.split("_")[0] for k in registry.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [k.split("_")[0] for k in registry.queries()] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_chunks_depend_on_their_document_alone(docs, odd):
