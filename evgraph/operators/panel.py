@@ -48,3 +48,23 @@ def lags(firsts: DataFrame, base: str, follow_ups: list[str]) -> DataFrame:
 def sequences(by_year: DataFrame, columns: list[str]) -> DataFrame:
     """Each unit's years with the given columns, as one array in order of year."""
     return by_year.groupBy("unit_id").agg(F.sort_array(F.collect_list(F.struct("year", *columns))).alias("steps"))
+
+
+def undated(rows: DataFrame, modalities: list[str]) -> DataFrame:
+    """Carriers and weight of each unit's evidence that has no year, in all and of each modality; units without such evidence have no row."""
+    aggs = [F.count_distinct("carrier_key").alias("undated_carriers"), F.round(F.sum("pair_weight"), 6).alias("undated_weight")]
+    for m in modalities:
+        own = F.col("carrier_type") == m
+        aggs += [F.count_distinct(F.when(own, F.col("carrier_key"))).alias(f"{m}_undated_carriers"), F.round(F.coalesce(F.sum(F.when(own, F.col("pair_weight"))), F.lit(0.0)), 6).alias(f"{m}_undated_weight")]
+    return rows.filter(F.col("year").isNull()).groupBy("unit_id").agg(*aggs)
+
+
+def year_range(rows: DataFrame, first: int | None = None, last: int | None = None) -> tuple[int, int]:
+    """The first and last year of the rows, or those given; an error where there is no year to take or the first is after the last."""
+    low, high = rows.agg(F.min("year"), F.max("year")).first() if first is None or last is None else (first, last)
+    first, last = low if first is None else first, high if last is None else last
+    if first is None or last is None:
+        raise ValueError("no row has a year, so the range must be given")
+    if first > last:
+        raise ValueError(f"the first year {first} is after the last year {last}")
+    return int(first), int(last)
