@@ -87,3 +87,37 @@ def unit_checks(units: DataFrame, evidence: DataFrame, pair_types: list[str]) ->
     off = units.join(counted, "unit_id", "left").agg(F.count_if(~F.col("n").eqNullSafe(F.col("carrier_count"))).alias("count_mismatch"))
     parts = [x.unpivot([], x.columns, "check", "violations") for x in (a, orphans, off)]
     return union_all(parts).withColumn("passed", F.col("violations") == 0)
+
+
+def link_profile(df: DataFrame, name: str) -> DataFrame | None:
+    """Rows and repeated id tuples of a link table, with its id columns: the first half are likely sources, the others targets. None if it isn't one.
+
+    A link table has "link" in its name or in a column's, or eight columns at most and two ids or more (columns that end in key or id).
+    """
+    ids = [c for c in df.columns if c.lower().endswith(("key", "id"))]
+    if not (any("link" in x.lower() for x in (name, *df.columns)) or (len(df.columns) <= 8 and len(ids) >= 2)):
+        return None
+    half = max(1, len(ids) // 2)
+    distinct = df.select(*ids).distinct().agg(F.count("*").alias("distinct_links")) if ids else df.limit(0).agg(F.count("*").alias("distinct_links"))
+    return df.agg(F.count("*").alias("rows")).join(F.broadcast(distinct), F.lit(True), "left").select(
+        F.lit(name).alias("table_name"), "rows", F.lit("|".join(ids)).alias("id_columns"), F.lit("|".join(ids[:half])).alias("likely_sources"), F.lit("|".join(ids[half:])).alias("likely_targets"),
+        (F.col("rows") - F.col("distinct_links")).alias("duplicate_rows"),
+    )
+
+
+def normalization(df: DataFrame, column: str, name: str) -> DataFrame:
+    """How many ids are missing, blank, not upper case, or hold a blank or a dash; a table without the column is a warning of its own."""
+    if column not in df.columns:
+        return df.sparkSession.range(1).select(F.lit(name).alias("check"), F.lit(None).cast("long").alias("rows"), F.lit(None).cast("long").alias("bad"), F.lit("missing column").alias("warning"))
+    x = F.col(column).cast("string")
+    bad = x.isNull() | (F.trim(x) == "") | (x != F.upper(x)) | x.contains(" ") | x.contains("-")
+    one = df.agg(F.count("*").alias("rows"), F.count_if(bad).alias("bad"))
+    return one.select(F.lit(name).alias("check"), "rows", "bad", F.when(F.col("bad") > 0, "ids not fully normalized").otherwise("").alias("warning"))
+
+
+def ungrounded(df: DataFrame, column: str, name: str, marker: str) -> DataFrame:
+    """How many ids are the marker of an ungrounded entity, whatever their case."""
+    if column not in df.columns:
+        return df.sparkSession.range(1).select(F.lit(name).alias("check"), F.lit(None).cast("long").alias("rows"), F.lit(None).cast("long").alias("bad"), F.lit("missing column").alias("warning"))
+    one = df.agg(F.count("*").alias("rows"), F.count_if(F.upper(F.trim(F.col(column).cast("string"))) == marker.upper()).alias("bad"))
+    return one.select(F.lit(name).alias("check"), "rows", "bad", F.when(F.col("bad") > 0, "ungrounded ids present").otherwise("").alias("warning"))

@@ -108,3 +108,11 @@ def normalized(rows: DataFrame, columns: list[str], train: Column) -> DataFrame:
     out = rows.join(F.broadcast(stats), F.lit(True), "left")
     scaled = {f"{c}_z": (F.col(c) - F.col(f"{c}__m")) / F.when(F.col(f"{c}__s") < 1e-6, 1.0).otherwise(F.col(f"{c}__s")) for c in columns}
     return out.withColumns(scaled).drop(*(f"{c}__{x}" for c in columns for x in "ms"))
+
+
+def year_checks(by_year: DataFrame, cutoffs: DataFrame, first: int) -> DataFrame:
+    """The years of the data against those that the cutoffs need: history from `first` on, futures up to the last future_end."""
+    have = by_year.agg(F.min("year").alias("year_min"), F.max("year").alias("year_max"), F.count("*").alias("rows"), F.count_distinct("unit_id").alias("units"))
+    need = cutoffs.agg(F.lit(first).alias("history_start"), F.max("future_end").alias("last_future_end"))
+    out = have.join(F.broadcast(need), F.lit(True), "left")
+    return out.withColumn("history_covered", F.coalesce(F.col("history_start") >= F.col("year_min"), F.lit(False))).withColumn("future_covered", F.coalesce(F.col("last_future_end") <= F.col("year_max"), F.lit(False)))
