@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.operators.audit import union_all
+from evgraph.operators.graph import written
 
 # which kinds are added, in order, from which kind's seeds or selected carriers; projects come last and never widen a conservative selection
 EXPANSIONS = {
@@ -25,19 +28,24 @@ def select_carriers(seeds: DataFrame, links: DataFrame, mode: str) -> DataFrame:
     """(kind, id) of the carriers and projects that a mode takes, each once.
 
     seeds: kind, id. links: source_kind, source_id, target_kind, target_id, followed both ways. Steps add one kind each: the ends of links that start at another
-    kind's seeds, or at what was selected of it so far.
+    kind's seeds, or at what was selected of it so far. The links both ways and each kind's selection are written to the shared folder.
     """
     if mode not in EXPANSIONS:
         raise ValueError(f"mode must be one of {', '.join(EXPANSIONS)}")
     kinds = ("base", "patent", "trial", "project")
-    given = {k: seeds.filter(F.col("kind") == k).select("id").distinct() for k in kinds}
+    side = lambda me, other: F.struct(*(F.col(f"{x}_{y}").alias(f"{z}_{y}") for x, z in ((me, "from"), (other, "to")) for y in ("kind", "id")))
+    both = written(links.select(F.explode(F.array(side("source", "target"), side("target", "source"))).alias("s")).select("s.*"), "links-both-ways")
+    seeds = written(seeds.select("kind", "id").distinct(), "seeds")
+    given = {k: seeds.filter(F.col("kind") == k).select("id") for k in kinds}
     selected = dict(given)
-    side = lambda me, other: links.select(*(F.col(f"{x}_{y}").alias(f"{z}_{y}") for x, z in ((me, "from"), (other, "to")) for y in ("kind", "id")))
-    both = side("source", "target").unionByName(side("target", "source"))
-    for to, start, which in EXPANSIONS[mode]:
-        known = (given if which == "seeds" else selected)[start]
-        steps = both.filter((F.col("from_kind") == start) & (F.col("to_kind") == to)).join(known.select(F.col("id").alias("from_id")), "from_id", "left_semi")
-        selected[to] = selected[to].union(steps.select(F.col("to_id").alias("id"))).distinct()
+    for to, steps in groupby(EXPANSIONS[mode], key=lambda step: step[0]):
+        found = [given[to]]
+        for _, start, which in steps:
+            known = (given if which == "seeds" else selected)[start]
+            hops = both.filter((F.col("from_kind") == start) & (F.col("to_kind") == to)).join(known.select(F.col("id").alias("from_id")), "from_id", "left_semi")
+            found.append(hops.select(F.col("to_id").alias("id")))
+        # later kinds start from this one, so it is made once
+        selected[to] = written(union_all(found).distinct(), f"selected-{to}")
     return union_all([selected[k].select(F.lit(k).alias("kind"), "id") for k in kinds])
 
 

@@ -63,7 +63,7 @@ def structure_columns(modalities: list[str], kinds: list[str]) -> list[str]:
 
 def pooled_structure(held: DataFrame, structure: DataFrame, modalities: list[str], kinds: list[str]) -> DataFrame:
     """Carriers and the mean, largest, sum and spread of their metrics, by unit and cutoff. Carriers without edges count as zeros, and lower the coverage."""
-    rows = held.join(structure.withColumn("covered", F.lit(True)), (held["carrier_id"] == structure["node_id"]) & (held["cutoff"] == structure["cutoff"]), "left").drop(structure["cutoff"])
+    rows = held.join(structure.withColumnRenamed("node_id", "carrier_id").withColumn("covered", F.lit(True)), ["carrier_id", "cutoff"], "left")
     covered, kind = F.count_if(F.col("covered")), F.coalesce("carrier_type", F.lit(""))
     aggs: list[Column] = [F.count("*").alias("structure_support_count"), covered.alias("structure_coverage_count"), F.round(covered / F.count("*"), 6).alias("structure_coverage_fraction")]
     aggs += [F.count_if(kind == m).alias(f"structure_support_{m}_count") for m in modalities] + [F.count_if(~kind.isin(modalities)).alias("structure_support_other_count")]

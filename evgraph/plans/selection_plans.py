@@ -29,8 +29,9 @@ def seeds(s, d) -> DataFrame:
 
 
 def carrier_selection(s, d):
-    links = feature_plans.carrier_links(s, d).filter("edge_type <> 'mentions'")
-    parts = [selection.select_carriers(seeds(s, d), links, m).groupBy("kind").agg(F.count("*").alias("carriers")).withColumn("mode", F.lit(m)) for m in selection.EXPANSIONS]
+    links = graph.written(feature_plans.carrier_links(s, d).filter("edge_type <> 'mentions'"), "carrier-links")
+    start = graph.written(seeds(s, d), "seeds")
+    parts = [selection.select_carriers(start, links, m).groupBy("kind").agg(F.count("*").alias("carriers")).withColumn("mode", F.lit(m)) for m in selection.EXPANSIONS]
     return audit.union_all(parts).select("mode", "kind", "carriers")
 
 

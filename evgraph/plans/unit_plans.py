@@ -157,7 +157,7 @@ def neighbour_features(s, d):
 
 def wide_unit_edges(s, d):
     """The unit graph with the reference's bounds: entities of 2 to 2000 units, 100 neighbours."""
-    return forecast.shared_entity_edges(unit_master(s, d), 2, 2000, 100)
+    return forecast.top_shared_entity_edges(unit_master(s, d), 2, 2000, 100)
 
 
 def wide_neighbour_features(s, d):
