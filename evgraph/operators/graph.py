@@ -99,42 +99,6 @@ def components(e: DataFrame) -> DataFrame:
         before = state
 
 
-def walks(e: DataFrame, starts: DataFrame, length: int, per_node: int = 1, seed: int = 0, back: float = 1.0, out: float = 1.0) -> DataFrame:
-    """Random walks over weighted edges (src, dst, weight): walk_id, path. back and out are the return and in-out parameters.
-
-    Each step joins the frontier to its edges and keeps, for each walk, the edge with the smallest -ln(u) / weight, where u is a
-    hash of seed, walk, step and edge; so a walk's law is that of weighted choice, and a rerun gives the same walks.
-    """
-    front = starts.select(F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("r"), F.col("node").alias("at"))
-    front = front.select(F.concat_ws("#", "at", "r").alias("walk_id"), "at", F.array("at").alias("path"), F.lit(None).cast(e.schema["src"].dataType).alias("was"))
-    plain = back == out == 1.0
-    near = e.select(F.col("src").alias("was"), F.col("dst")).distinct().withColumn("near", F.lit(True)) if not plain else None
-    for step in range(length - 1):
-        options = front.join(e, front["at"] == e["src"])
-        if plain:
-            w = F.col("weight")
-        else:
-            options = options.join(near, ["was", "dst"], "left")
-            w = F.when(F.col("dst") == F.col("was"), F.col("weight") / back).when(F.col("near") | F.col("was").isNull(), F.col("weight")).otherwise(F.col("weight") / out)
-        u = expr.unit_interval(F.col("walk_id"), F.lit(step), F.col("dst"), seed=seed)
-        chosen = options.withColumn("cost", -F.log(F.greatest(u, F.lit(1e-12))) / w).groupBy("walk_id").agg(F.min_by(F.struct("dst", "at", "path"), F.struct("cost", "dst")).alias("s"))
-        moved = chosen.select("walk_id", F.col("s.dst").alias("at"), F.concat("s.path", F.array("s.dst")).alias("path"), F.col("s.at").alias("was"))
-        ended = front.join(e.select(F.col("src").alias("at")).distinct(), "at", "left_anti").select("walk_id", "at", "path", "was")
-        front = written(moved.unionByName(ended), "walks") if step % 4 == 3 else moved.unionByName(ended)
-    return front.select("walk_id", "path")
-
-
-def metapath_walks(steps: list[DataFrame], starts: DataFrame, seed: int = 0) -> DataFrame:
-    """Walks whose k-th step uses the k-th edge set (src, dst); walks that can't go on are dropped."""
-    front = starts.select(F.col("node").alias("at"), F.array("node").alias("path"), F.col("node").alias("walk_id"))
-    for k, e in enumerate(steps):
-        u = expr.unit_interval(F.col("walk_id"), F.lit(k), F.col("dst"), seed=seed)
-        options = front.join(e, front["at"] == e["src"]).withColumn("u", u)
-        chosen = options.groupBy("walk_id").agg(F.min_by(F.struct("dst", "path"), F.struct("u", "dst")).alias("s"))
-        front = chosen.select("walk_id", F.col("s.dst").alias("at"), F.concat("s.path", F.array("s.dst")).alias("path"))
-    return front.select("walk_id", "path")
-
-
 def flux(e: DataFrame, state: DataFrame, column: str) -> DataFrame:
     """One diffusion step: for each dst the weighted sum of (u_src - u_dst), over the sum of its weights."""
     a = e.join(state.select(F.col("node").alias("src"), F.col(column).alias("us")), "src")

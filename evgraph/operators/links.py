@@ -102,6 +102,7 @@ def pair_features(a: Column, b: Column) -> dict[str, Column]:
 
 
 def fingerprint(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Row count and a digest of each group that doesn't depend on row order."""
-    h = F.xxhash64(F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256))
+    """Row count and a digest of each group that doesn't depend on row order: xor and sum of 60 bits of each row's SHA-256."""
+    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    h = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
     return rows.groupBy(*by).agg(F.count("*").alias("rows"), F.bit_xor(h).alias("digest_xor"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("digest_sum"))

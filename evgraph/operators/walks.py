@@ -3,25 +3,27 @@
 The edges of a node lie side by side on a line whose length is the sum of their weights; a walk draws a point of it. The line is cut into blocks of
 equal length, one for every `per_block` edges, and an edge is listed in each block that it reaches into. So a walk's step is an equi-join on (node, block), in which it meets
 about `per_block` edges, and not on the node alone, in which every walk at a hub would meet all the hub's edges.
+
+Points are md5 hashes of seed, walk and step, and a line's edges are in the order of two digits of md5(dst), then dst: SQL can replay every walk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evgraph.functions import expr
 from evgraph.operators.graph import written
 
 
-def edge_lines(edges: DataFrame, per_block: int = 32, cuts: int = 64) -> DataFrame:
+def edge_lines(edges: DataFrame, per_block: int = 32, digits: int = 2) -> DataFrame:
     """src, block, dst, low, high, total, blocks: where each edge lies on its source's line, once for every block that it reaches into.
 
-    edges: src, dst, weight over 0. A node's edges are dealt to `cuts` parts by a hash of dst, each part is summed up by itself and moved by the parts before, so that no
+    edges: src, dst, weight over 0. A node's edges are dealt to 16 ** `digits` parts by md5(dst), each part is summed up by itself and moved by the parts before, so that no
     hub is one task's window.
     """
     merged = edges.filter(F.col("weight") > 0).groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight"))
-    part = merged.withColumn("cut", F.pmod(F.xxhash64("dst"), F.lit(cuts)).cast("int"))
+    part = merged.withColumn("cut", F.substring(F.md5(F.col("dst").cast("string")), 1, digits))
     sums = part.groupBy("src", "cut").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
     all_ = Window.partitionBy("src")
     sums = sums.select("src", "cut", (F.sum("w").over(all_.orderBy("cut")) - F.col("w")).alias("before"), F.sum("w").over(all_).alias("total"), F.ceil(F.sum("n").over(all_) / per_block).alias("blocks"))
@@ -34,6 +36,25 @@ def edge_lines(edges: DataFrame, per_block: int = 32, cuts: int = 64) -> DataFra
     return placed.withColumn("block", F.explode(F.sequence(at(F.col("low")), at(F.col("high")))))
 
 
+def _ends(lines: DataFrame) -> DataFrame:
+    return lines.select(F.col("src").alias("at"), "total", "blocks").distinct()
+
+
+def _drawn(draws: DataFrame, lines: DataFrame, ends: DataFrame, u: Column) -> DataFrame:
+    """draws (at and others) with the dst that the point u, in [0, 1), of their node's line falls on; draws at nodes without edges are dropped."""
+    point = draws.join(ends, "at").withColumn("point", u * F.col("total"))
+    point = point.withColumn("block", F.least(F.floor(F.col("point") / F.col("total") * F.col("blocks")), F.col("blocks") - 1))
+    hit = lines.select(F.col("src").alias("at"), "block", "dst", "low")
+    # the edge of a point is the last one of its block that begins at or before it
+    met = point.join(hit, ["at", "block"]).filter(F.col("low") <= F.col("point"))
+    return met.groupBy(*draws.columns).agg(F.max_by("dst", F.struct("low", "dst")).alias("dst"))
+
+
+def _front(starts: DataFrame, per_node: int) -> DataFrame:
+    front = starts.select(F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("r"), F.col("node").alias("at"))
+    return front.select(F.concat_ws("#", "at", "r").alias("walk_id"), "at", F.array("at").alias("path"))
+
+
 def hub_walks(edges: DataFrame, starts: DataFrame, length: int, per_node: int = 1, seed: int = 0, per_block: int = 32) -> DataFrame:
     """Random walks of `length` nodes over weighted edges (src, dst, weight), `per_node` from each start (node): walk_id, path.
 
@@ -41,16 +62,10 @@ def hub_walks(edges: DataFrame, starts: DataFrame, length: int, per_node: int =
     edges. Every fourth step is written to the shared folder, so that lineage and losses stay short.
     """
     lines = written(edge_lines(edges, per_block), "edge-lines")
-    ends = lines.select(F.col("src").alias("at"), "total", "blocks").distinct()
-    front = starts.select(F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("r"), F.col("node").alias("at"))
-    front = front.select(F.concat_ws("#", "at", "r").alias("walk_id"), "at", F.array("at").alias("path"))
-    done = []
+    ends = _ends(lines)
+    front, done = _front(starts, per_node), []
     for step in range(length - 1):
-        drawn = front.join(ends, "at").withColumn("point", expr.unit_interval(F.col("walk_id"), F.lit(step), seed=seed) * F.col("total"))
-        drawn = drawn.withColumn("block", F.least(F.floor(F.col("point") / F.col("total") * F.col("blocks")), F.col("blocks") - 1))
-        hit = lines.select(F.col("src").alias("at"), "block", "dst", "low", "high")
-        # the edge of a point is the last one of its block that begins at or before it
-        met = drawn.join(hit, ["at", "block"]).filter(F.col("low") <= F.col("point")).groupBy("walk_id", "at", "path").agg(F.max_by("dst", F.struct("low", "dst")).alias("dst"))
+        met = _drawn(front, lines, ends, expr.unit_interval(F.col("walk_id"), F.lit(step), seed=seed))
         done.append(front.join(ends.select("at"), "at", "left_anti").select("walk_id", "path"))
         front = met.select("walk_id", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
         if step % 4 == 3:
@@ -59,3 +74,55 @@ def hub_walks(edges: DataFrame, starts: DataFrame, length: int, per_node: int =
     for d in done:
         out = out.unionByName(d)
     return out
+
+
+def biased_walks(edges: DataFrame, starts: DataFrame, length: int, per_node: int = 1, back: float = 1.0, out: float = 1.0, seed: int = 0, per_block: int = 32) -> DataFrame:
+    """Second-order random walks with return and in-out parameters: walk_id, path.
+
+    From `at`, reached from `was`, an edge to dst is taken with a chance in proportion to its weight times 1 / back if dst is `was`, times 1 if an edge leads from `was` to dst, times
+    1 / out otherwise. Edges are proposed by weight alone, as in hub_walks, and accepted with their factor over the largest one: the law is the same, and a step looks up
+    the pair (was, dst) of its proposals instead of all neighbours of both nodes. Walks without an accepted proposal get twice as many in the next round, until all have one.
+    A walk ends early at a node without edges. An empty table gives no rows; edges of no weight count as neighbours no more than they are taken.
+    """
+    if min(back, out) <= 0:
+        raise ValueError("back and out must be over 0")
+    lines = written(edge_lines(edges, per_block), "edge-lines")
+    ends, near = _ends(lines), lines.select(F.col("src").alias("was"), "dst").distinct().withColumn("near", F.lit(True))
+    most = max(1.0, 1 / back, 1 / out)
+    front = _front(starts, per_node).withColumn("was", F.lit(None).cast(edges.schema["src"].dataType))
+    done = []
+    for step in range(length - 1):
+        done.append(front.join(ends.select("at"), "at", "left_anti").select("walk_id", "path"))
+        left, taken, tried, tries = written(front.join(ends.select("at"), "at", "left_semi"), "walks"), [], 0, 1 if step == 0 else 4
+        while not left.isEmpty():
+            draws = left.withColumn("try", F.explode(F.sequence(F.lit(tried), F.lit(tried + tries - 1))))
+            met = _drawn(draws, lines, ends, expr.unit_interval(F.col("walk_id"), F.lit(step), F.col("try"), seed=seed)).join(near, ["was", "dst"], "left")
+            factor = F.when(F.col("was").isNull(), most).when(F.col("dst") == F.col("was"), 1 / back).when(F.col("near"), 1.0).otherwise(1 / out)
+            kept = met.filter(expr.unit_interval(F.col("walk_id"), F.lit(step), F.col("try"), F.lit("keep"), seed=seed) < factor / most)
+            first = kept.groupBy("walk_id").agg(F.min_by(F.struct("at", "path", "dst"), "try").alias("s"))
+            moved = written(first.select("walk_id", F.col("s.dst").alias("at"), F.concat("s.path", F.array("s.dst")).alias("path"), F.col("s.at").alias("was")), "walks")
+            taken.append(moved)
+            left = written(left.join(moved.select("walk_id"), "walk_id", "left_anti"), "walks")
+            tried, tries = tried + tries, 2 * tries
+        front = front.limit(0) if not taken else taken[0]
+        for m in taken[1:]:
+            front = front.unionByName(m)
+    rows = front.select("walk_id", "path")
+    for d in done:
+        rows = rows.unionByName(d)
+    return rows
+
+
+def metapath_walks(steps: list[DataFrame], starts: DataFrame, per_node: int = 1, seed: int = 0, per_block: int = 32) -> DataFrame:
+    """Walks whose k-th step takes one of the edges of the k-th set (src, dst), each with the same chance, repeated edges once: walk_id, path.
+
+    Walks that can't go on are dropped. A step meets a bounded block of a hub's edges; every fourth one is written to the shared folder.
+    """
+    front = _front(starts, per_node)
+    for k, e in enumerate(steps):
+        lines = written(edge_lines(e.select("src", "dst").distinct().withColumn("weight", F.lit(1.0)), per_block), "edge-lines")
+        met = _drawn(front, lines, _ends(lines), expr.unit_interval(F.col("walk_id"), F.lit(k), seed=seed))
+        front = met.select("walk_id", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
+        if k % 4 == 3:
+            front = written(front, "walks")
+    return front.select("walk_id", "path")

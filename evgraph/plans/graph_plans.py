@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.functions import expr
-from evgraph.operators import forecast, graph, joins
+from evgraph.operators import forecast, graph, joins, walks
 from evgraph.plans.bindings import CUTOFFS, HORIZON, carriers, entities, raw_mentions, sql, table
 
 
@@ -189,29 +189,54 @@ def components(s, d):
     return rows.groupBy("component").agg(F.count("*").alias("nodes"), *(F.count_if(F.col("kind") == k).alias(c) for c, k in kinds.items()))
 
 
+def typed_edges(s, d) -> DataFrame:
+    """The order graph, both ways: src, dst, weight, with typed names of nodes."""
+    e = all_edges(s, d).select(F.concat_ws(":", "source_type", "source_id").alias("src"), F.concat_ws(":", "target_type", "target_id").alias("dst"), "weight")
+    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+
+
+def typed_nodes(s, d) -> DataFrame:
+    return all_nodes(s, d).select(F.concat_ws(":", "node_type", "node_id").alias("node"))
+
+
 def random_walks(s, d):
-    e = _nation_edges(s, d)
-    return graph.walks(e, _nation_state(s, d).select("node"), 6, 3, seed=1, back=2.0, out=0.5)
+    """A walk of six nodes from every node of the order graph, slow to return and quick to leave."""
+    w = walks.biased_walks(typed_edges(s, d), typed_nodes(s, d), 6, back=2.0, out=0.5, seed=1)
+    return w.select("walk_id", F.concat_ws(">", "path").alias("path"))
+
+
+def typed_walks(s, d):
+    """A walk of six nodes from every node of the order graph."""
+    return walks.hub_walks(typed_edges(s, d), typed_nodes(s, d), 6, seed=3).select("walk_id", F.concat_ws(">", "path").alias("path"))
 
 
 def metapath(s, d):
+    """Customer, order, entity, order, customer: one walk from each customer that has an order with an entity."""
     o = table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("c"), F.col("o_orderkey").cast("string").alias("o"))
     m = raw_mentions(s, d).select(F.col("carrier_id").alias("o"), "entity_id").distinct()
     steps = [o.select(F.col("c").alias("src"), F.col("o").alias("dst")), m.select(F.col("o").alias("src"), F.col("entity_id").alias("dst")), m.select(F.col("entity_id").alias("src"), F.col("o").alias("dst")), o.select(F.col("o").alias("src"), F.col("c").alias("dst"))]
-    return graph.metapath_walks(steps, o.select(F.col("c").alias("node")).distinct())
+    return walks.metapath_walks(steps, o.select(F.col("c").alias("node")).distinct()).select("walk_id", F.concat_ws(">", "path").alias("path"))
 
 
-def walk_vectors(s, d):
-    """Skip-gram vectors of nations over their walks."""
+def _skip_gram(corpus: DataFrame) -> DataFrame:
+    """Skip-gram vectors of the nodes of walks; the number of partitions grows with the walks."""
     from pyspark.ml.feature import Word2Vec
-
-    w = graph.walks(_nation_edges(s, d), _nation_state(s, d).select("node"), 12, 8, seed=2)
-    model = Word2Vec(vectorSize=16, windowSize=3, minCount=1, seed=1, numPartitions=1, inputCol="path", outputCol="v").fit(w)
     from pyspark.ml.functions import vector_to_array
 
+    model = Word2Vec(vectorSize=16, windowSize=3, minCount=1, seed=1, numPartitions=1 + corpus.count() // 50_000, inputCol="path", outputCol="v").fit(corpus)
     return model.getVectors().select(F.col("word").alias("node"), vector_to_array("vector").alias("vector"))
 
 
+def walk_vectors(s, d):
+    """Vectors of all nodes over a biased walk from each."""
+    return _skip_gram(graph.written(walks.biased_walks(typed_edges(s, d), typed_nodes(s, d), 6, back=2.0, out=0.5, seed=2), "walk-corpus"))
+
+
+def typed_walk_vectors(s, d):
+    """Vectors of all nodes over two walks from each."""
+    return _skip_gram(graph.written(walks.hub_walks(typed_edges(s, d), typed_nodes(s, d), 8, per_node=2, seed=4), "walk-corpus"))
+
+
 def triple_scores(s, d):
     """DistMult and TransE scores of pairs of labelled vectors, with the label's mean vector as relation."""
     v = table(s, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
@@ -240,7 +265,59 @@ NATIONS = """nation_edges AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
 state AS (SELECT CAST(n_nationkey AS VARCHAR) AS node, CAST(n_regionkey AS DOUBLE) AS u FROM nation)"""
 
+BOTH_WAYS = """typed AS (SELECT source_type || ':' || source_id AS a, target_type || ':' || target_id AS b, weight FROM edges),
+typed_both AS (SELECT src, dst, sum(weight) AS w FROM (SELECT a AS src, b AS dst, weight FROM typed UNION ALL SELECT b, a, weight FROM typed) GROUP BY src, dst),
+typed_nodes AS (SELECT node_type || ':' || node_id AS node FROM nodes)"""
+
+
+def _lines(name: str, edges: str) -> str:
+    """Where each edge begins on its source's line: the edges in order of two digits of md5(dst), then dst."""
+    return f"{name} AS (SELECT src, dst, sum(w) OVER (PARTITION BY src ORDER BY substr(md5(dst), 1, 2), dst) - w AS low, sum(w) OVER (PARTITION BY src) AS total FROM {edges})"
+
+
+def _unit(*parts: str) -> str:
+    """The SQL of expr.unit_interval."""
+    return f"CAST(CAST('0x' || substr(md5({" || '|' || ".join(parts)}), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496"
+
+
+def _walked(lines: list[str], starts: str, seed: int, ends_early: bool) -> str:
+    """Common table expressions w0, w1 and so on: the walks after each step, the k-th over the k-th lines."""
+    ctes = [f"w0 AS (SELECT node || '#0' AS walk_id, node AS here, node AS path FROM {starts})"]
+    for k, line in enumerate(lines):
+        moved = f"SELECT walk_id, dst AS here, path || '>' || dst AS path FROM (SELECT w.*, {_unit(f"'{seed}'", 'walk_id', f"'{k}'")} * total AS point FROM w{k} w JOIN (SELECT DISTINCT src, total FROM {line}) ON src = here) p ASOF JOIN {line} l ON l.src = p.here AND l.low <= p.point"
+        stays = f" UNION ALL SELECT walk_id, here, path FROM w{k} WHERE here NOT IN (SELECT src FROM {line})" if ends_early else ""
+        ctes.append(f"w{k + 1} AS MATERIALIZED ({moved}{stays})")
+    return ", ".join(ctes)
+
+
+def _biased(length: int, back: float, out: float, seed: int, tries: int) -> str:
+    """The same with proposals: the first of `tries` that is accepted; a walk without one would be missing."""
+    most = max(1.0, 1 / back, 1 / out)
+    ctes = ["w0 AS (SELECT node || '#0' AS walk_id, node AS here, CAST(NULL AS VARCHAR) AS was, node AS path FROM typed_nodes)"]
+    for k in range(length - 1):
+        u, v = _unit(f"'{seed}'", "walk_id", f"'{k}'", "t"), _unit(f"'{seed}'", "walk_id", f"'{k}'", "t", "'keep'")
+        ctes.append(
+            f"""w{k + 1} AS MATERIALIZED (SELECT walk_id, arg_min(dst, t) AS here, any_value(here) AS was, any_value(path) || '>' || arg_min(dst, t) AS path FROM (
+            SELECT p.walk_id, p.here, p.was, p.path, p.t, p.v, l.dst FROM (SELECT w.*, t, {u} * total AS point, {v} AS v FROM w{k} w JOIN (SELECT DISTINCT src, total FROM lines) ON src = here CROSS JOIN range({1 if k == 0 else tries}) r(t)) p
+            ASOF JOIN lines l ON l.src = p.here AND l.low <= p.point) x LEFT JOIN (SELECT src AS ns, dst AS nd FROM typed_both) ON ns = was AND nd = dst
+            WHERE v < CASE WHEN was IS NULL THEN {most} WHEN dst = was THEN {1 / back} WHEN nd IS NOT NULL THEN 1.0 ELSE {1 / out} END / {most} GROUP BY walk_id
+            UNION ALL SELECT walk_id, here, was, path FROM w{k} WHERE here NOT IN (SELECT src FROM lines))"""
+        )
+    return ", ".join(ctes)
+
+
 ORACLES = {
+    "random_walks": (random_walks, sql("SELECT walk_id, path FROM w5", f"{GRAPH}, {BOTH_WAYS}, {_lines('lines', 'typed_both')}, {_biased(6, 2.0, 0.5, 1, 128)}")),
+    "typed_walks": (typed_walks, sql("SELECT walk_id, path FROM w5", f"{GRAPH}, {BOTH_WAYS}, {_lines('lines', 'typed_both')}, {_walked(['lines'] * 5, 'typed_nodes', 3, True)}")),
+    "metapath_walks": (
+        metapath,
+        sql(
+            "SELECT walk_id, path FROM w4",
+            "co AS (SELECT DISTINCT project_id AS src, carrier_id AS dst, 1.0::DOUBLE AS w FROM carriers), oe AS (SELECT DISTINCT carrier_id AS src, entity_id AS dst, 1.0::DOUBLE AS w FROM raw_mentions), "
+            "eo AS (SELECT dst AS src, src AS dst, w FROM oe), oc AS (SELECT dst AS src, src AS dst, w FROM co), started AS (SELECT DISTINCT src AS node FROM co), "
+            + ", ".join(_lines(f"l_{e}", e) for e in ("co", "oe", "eo", "oc")) + ", " + _walked(["l_co", "l_oe", "l_eo", "l_oc"], "started", 0, False),
+        ),
+    ),
     "edge_types": (edge_types, sql("SELECT edge_type, source_type, target_type, count(*) AS edges, round(sum(weight), 6) AS weight, count(DISTINCT source_id) AS sources, count(DISTINCT target_id) AS targets FROM edges GROUP BY ALL", GRAPH)),
     "node_types": (
         node_types,
@@ -341,4 +418,4 @@ ORACLES = {
         FROM embeddings h JOIN embeddings t ON t.vec_id = h.vec_id + 1""",
     ),
 }
-ROWS_ONLY = {"connected_components": components, "random_walks": random_walks, "metapath_walks": metapath, "walk_vectors": walk_vectors}
+ROWS_ONLY = {"connected_components": components, "walk_vectors": walk_vectors, "typed_walk_vectors": typed_walk_vectors}

@@ -144,5 +144,21 @@ ORACLES = {
         """SELECT * FROM (SELECT round(min(v), 6) AS least, round(max(v), 6) AS most, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM (SELECT unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings)),
         (SELECT count(*) AS rows, round(min(n), 5) AS norm_least, round(max(n), 5) AS norm_most, round(avg(n), 5) AS norm_mean FROM (SELECT sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings))""",
     ),
+    "split_fingerprint": (
+        fingerprints,
+        sql("SELECT split, count(*) AS rows, bit_xor(h) AS digest_xor, CAST(sum(h) AS VARCHAR) AS digest_sum FROM (SELECT split, CAST('0x' || substr(sha256(source || '|' || target || '|' || label), 1, 15) AS BIGINT) AS h FROM labeled) GROUP BY split", LINKS),
+    ),
+    "pair_features": (
+        pair_features,
+        """SELECT ia, CAST(2 * len(a) + len(h) + len(g) AS BIGINT) AS width, round(list_sum(h), 4) AS hadamard, round(list_sum(g), 4) AS l1, round(list_sum(q), 4) AS l2, round(list_sum(CAST(a AS DOUBLE[])) + list_sum(CAST(b AS DOUBLE[])) + list_sum(g) + list_sum(h), 4) AS concat
+        FROM (SELECT ia, a, b, list_transform(range(1, 65), lambda i: CAST(a[i] * b[i] AS DOUBLE)) AS h, list_transform(range(1, 65), lambda i: CAST(abs(a[i] - b[i]) AS DOUBLE)) AS g, list_transform(range(1, 65), lambda i: CAST((a[i] - b[i]) * (a[i] - b[i]) AS DOUBLE)) AS q
+        FROM (SELECT x.vec_id AS ia, x.embedding AS a, y.embedding AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1))""",
+    ),
+    "corrupted_triples": (
+        corrupted_triples,
+        """SELECT CASE WHEN u1 < 0.5 THEN 'head' ELSE 'tail' END AS side, CAST(i AS INTEGER) AS i, count(*) AS rows, count(DISTINCT new_head) AS heads, count(DISTINCT new_tail) AS tails, CAST(sum(new_head) AS BIGINT) AS head_sum FROM (
+        SELECT i, u1, CASE WHEN u1 < 0.5 THEN CAST(floor(u2 * parts) AS BIGINT) ELSE head END AS new_head, CASE WHEN u1 < 0.5 THEN tail ELSE CAST(floor(u2 * suppliers) AS BIGINT) END AS new_tail FROM (
+        SELECT *, CAST(CAST('0x' || substr(md5('1|' || head || '|' || tail || '|' || i), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 AS u1, CAST(CAST('0x' || substr(md5('2|' || head || '|' || tail || '|' || i), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 AS u2
+        FROM (SELECT DISTINCT l_partkey AS head, l_suppkey AS tail FROM lineitem) CROSS JOIN range(1, 3) r(i) CROSS JOIN (SELECT count(*) AS parts FROM part) CROSS JOIN (SELECT count(*) AS suppliers FROM supplier))) GROUP BY ALL""",
+    ),
 }
-ROWS_ONLY = {"split_fingerprint": fingerprints, "pair_features": pair_features, "corrupted_triples": corrupted_triples}

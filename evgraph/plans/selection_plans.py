@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.functions import expr
-from evgraph.operators import audit, forecast, graph, selection, walks
-from evgraph.plans import feature_plans, graph_plans, unit_plans
+from evgraph.operators import audit, forecast, graph, selection
+from evgraph.plans import feature_plans, unit_plans
 from evgraph.plans.bindings import carriers, entities, raw_mentions, sql, table
 from evgraph.plans.feature_plans import STATE
 from evgraph.plans.unit_plans import WIDE_EDGES, YEARLY
@@ -108,30 +108,6 @@ def unit_neighbour_mean(s, d):
     return graph.neighbour_mean(*_unit_graph(s, d), "u", self_loops=True)
 
 
-def typed_edges(s, d) -> DataFrame:
-    """All edges of the order graph both ways, between nodes named by type and id."""
-    name = lambda kind, key: F.concat_ws(":", kind, key)
-    e = graph_plans.all_edges(s, d).select(name("source_type", "source_id").alias("src"), name("target_type", "target_id").alias("dst"), "weight")
-    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-
-
-def typed_walks(s, d):
-    """A walk of six nodes from every node of the order graph."""
-    starts = graph_plans.all_nodes(s, d).select(F.concat_ws(":", "node_type", "node_id").alias("node"))
-    return walks.hub_walks(typed_edges(s, d), starts, 6, seed=3)
-
-
-def typed_walk_vectors(s, d):
-    """Skip-gram vectors of all nodes over two walks from each; the number of partitions grows with the walks."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
-    starts = graph_plans.all_nodes(s, d).select(F.concat_ws(":", "node_type", "node_id").alias("node"))
-    corpus = graph.written(walks.hub_walks(typed_edges(s, d), starts, 8, per_node=2, seed=4), "walk-corpus")
-    model = Word2Vec(vectorSize=16, windowSize=3, minCount=1, seed=1, numPartitions=1 + corpus.count() // 50_000, inputCol="path", outputCol="v").fit(corpus)
-    return model.getVectors().select(F.col("word").alias("node"), vector_to_array("vector").alias("vector"))
-
-
 SEEDS = r"""matched AS (SELECT entity_id FROM entities WHERE regexp_matches(lower(entity_name), '(^|[^a-z0-9])red[\s-]+widget([^a-z0-9]|$)')),
 seeds AS (
   SELECT carrier_type AS kind, carrier_id AS id FROM carriers WHERE year = 1997 AND carrier_id IN (SELECT carrier_id FROM raw_mentions WHERE entity_id IN (SELECT entity_id FROM matched))
@@ -221,4 +197,3 @@ ORACLES = {
         sql("SELECT dst AS node, round(sum(w * u) / sum(w), 6) AS mean FROM (SELECT src, dst, edge_weight AS w FROM unit_edges UNION ALL SELECT node, node, 1.0 FROM last_state) JOIN last_state ON src = node GROUP BY dst", DIFFUSED),
     ),
 }
-ROWS_ONLY = {"typed_walks": typed_walks, "typed_walk_vectors": typed_walk_vectors}

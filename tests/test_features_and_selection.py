@@ -205,6 +205,52 @@ def test_walks_with_hubs(spark):
     assert 0.68 < first.count("end") / len(first) < 0.82 and len(set(first)) > 60
 
 
+def test_biased_walks_follow_their_law(spark):
+    weights = {("a", "b"): 1.0, ("a", "c"): 3.0, ("b", "c"): 2.0, ("b", "d"): 4.0, ("d", "e"): 1.0}
+    both = [(x, y, w) for (x, y), w in weights.items()] + [(y, x, w) for (x, y), w in weights.items()]
+    e = spark.createDataFrame(both + [("a", "b", 0.0), ("c", "end", 1.0)], "src string, dst string, weight double")
+    w = {(x, y): v for x, y, v in both} | {("c", "end"): 1.0}
+    starts = spark.createDataFrame([("a",), ("end",)], "node string")
+    back, out = 4.0, 0.25
+    run = lambda: {r.walk_id: r.path for r in walks.biased_walks(e, starts, 4, per_node=6000, back=back, out=out, seed=5, per_block=2).collect()}
+    rows = run()
+    assert len(rows) == 12000 and rows == run()
+
+    def law(was, at):
+        f = {y: v * (1 / back if y == was else 1.0 if (was, y) in w else 1 / out) if was else v for (x, y), v in w.items() if x == at}
+        return {y: v / sum(f.values()) for y, v in f.items()}
+
+    want, front = {}, {("a",): 1.0}
+    for _ in range(3):
+        nxt = {}
+        for p, chance in front.items():
+            options = law(p[-2] if len(p) > 1 else None, p[-1])
+            if not options:
+                want[p] = chance
+            for y, v in options.items():
+                nxt[p + (y,)] = nxt.get(p + (y,), 0) + chance * v
+        front = nxt
+    want |= front
+    got = Counter(tuple(p) for p in rows.values() if p[0] == "a")
+    assert set(got) <= set(want) and all(p == ["end"] for p in rows.values() if p[0] == "end")
+    assert all(abs(got[p] / 6000 - c) < 5 * (c * (1 - c) / 6000) ** 0.5 + 1e-3 for p, c in want.items())
+    assert walks.biased_walks(e.limit(0), starts.limit(0), 3).count() == 0
+    assert {tuple(r.path) for r in walks.biased_walks(e.limit(0), starts, 3).collect()} == {("a",), ("end",)}
+    with pytest.raises(ValueError):
+        walks.biased_walks(e, starts, 3, back=0.0)
+
+
+def test_metapath_walks_take_each_edge_alike(spark):
+    wide = spark.range(400).select(F.lit("s").alias("src"), F.concat(F.lit("m"), F.col("id") % 40).alias("dst"))
+    to = spark.createDataFrame([(f"m{i}", f"t{i % 2}") for i in range(30)], "src string, dst string")
+    starts = spark.createDataFrame([("s",), ("gone",), (None,)], "node string")
+    paths = [r.path for r in walks.metapath_walks([wide, to], starts, per_node=4000, seed=3, per_block=8).collect()]
+    # three quarters of the middle nodes go on; repeated edges count once
+    assert abs(len(paths) - 3000) < 150 and all(p[0] == "s" and p[2] == f"t{int(p[1][1:]) % 2}" for p in paths)
+    counts = Counter(p[1] for p in paths)
+    assert len(counts) == 30 and max(counts.values()) < 160 and min(counts.values()) > 50
+
+
 def test_blocks_of_a_line_are_bounded(spark):
     e = spark.range(3000).select(F.lit("hub").alias("src"), F.concat(F.lit("n"), "id").alias("dst"), (F.col("id") % 7 + 1).cast("double").alias("weight"))
     lines = walks.edge_lines(e, per_block=32)

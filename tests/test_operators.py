@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evgraph.functions import expr
-from evgraph.operators import graph, joins, links, metrics, panel, units
+from evgraph.operators import graph, joins, links, metrics, panel, units, walks
 from evgraph.sources import tables
 
 
@@ -58,7 +58,7 @@ def test_graph(spark):
     assert {(r.node, r.component) for r in graph.components(e).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
     w = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double")
     starts = spark.createDataFrame([("a",), ("b",)], "node string")
-    assert {len(r.path) for r in graph.walks(w, starts, 7).collect()} == {7}
+    assert {len(r.path) for r in walks.biased_walks(w, starts, 7, back=4.0).collect()} == {7}
 
 
 def test_joins(spark):
