@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evgraph.functions import expr
@@ -121,3 +121,111 @@ def ungrounded(df: DataFrame, column: str, name: str, marker: str) -> DataFrame:
         return df.sparkSession.range(1).select(F.lit(name).alias("check"), F.lit(None).cast("long").alias("rows"), F.lit(None).cast("long").alias("bad"), F.lit("missing column").alias("warning"))
     one = df.agg(F.count("*").alias("rows"), F.count_if(F.upper(F.trim(F.col(column).cast("string"))) == marker.upper()).alias("bad"))
     return one.select(F.lit(name).alias("check"), "rows", "bad", F.when(F.col("bad") > 0, "ungrounded ids present").otherwise("").alias("warning"))
+
+
+def unmatched_by_type(links: DataFrame, known: DataFrame, marker: str, xrefs: list[str]) -> DataFrame:
+    """Link rows (source_table, entity_type, entity_id, mention) whose entity isn't known (entity_id), by table and type: rows, ids, how many hold each cross reference, samples, a warning.
+
+    A null entity counts as unmatched. Ids are counted exactly; samples are the least id and its least mention.
+    """
+    lost = links.withColumn("entity_id", expr.key(F.col("entity_id"))).join(known.select(expr.key(F.col("entity_id")).alias("entity_id")).filter("entity_id is not null").distinct(), "entity_id", "left_anti")
+    out = lost.groupBy("source_table", F.coalesce("entity_type", F.lit("")).alias("entity_type")).agg(
+        F.count("*").alias("row_count"), F.count_distinct("entity_id").alias("entity_ids"), *(F.count(x).alias(f"{x}_present") for x in xrefs),
+        F.min("entity_id").alias("sample_entity_id"), F.min("mention").alias("sample_mention"), F.count_if(F.upper("entity_id").eqNullSafe(F.lit(marker.upper()))).alias("ungrounded_rows"),
+    )
+    warning = F.when(F.col("ungrounded_rows") == F.col("row_count"), "ungrounded mentions").when(F.col("ungrounded_rows") == 0, "ids missing from the dictionary").otherwise("both")
+    return out.withColumn("warning", warning)
+
+
+def unmatched_by_entity(links: DataFrame, known: DataFrame, marker: str, sample: int = 5) -> DataFrame:
+    """Each unknown entity of a source table: rows, distinct mentions, its types, the first mentions by name, and what to do with it.
+
+    A marker of ungrounded mentions would be the hottest key of all, so mentions are counted by (entity, type, mention) first and only their counts meet.
+    """
+    lost = links.withColumn("entity_id", expr.key(F.col("entity_id"))).join(known.select(expr.key(F.col("entity_id")).alias("entity_id")).filter("entity_id is not null").distinct(), "entity_id", "left_anti")
+    each = lost.groupBy("source_table", "entity_id", "mention").agg(F.count("*").alias("n"), F.collect_set("entity_type").alias("types"))
+    first = each.filter(F.col("mention").isNotNull()).withColumn("cut", F.substring(F.md5("mention"), 1, 2))
+    # the first mentions of each of 256 cuts, then the first of those: no window holds all mentions of an entity
+    for keys in (["source_table", "entity_id", "cut"], ["source_table", "entity_id"]):
+        first = first.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("mention"))).filter(F.col("place") <= sample)
+    samples = first.groupBy("source_table", "entity_id").agg(F.array_join(F.sort_array(F.collect_list("mention")), "|").alias("sample_mentions"))
+    out = each.groupBy("source_table", "entity_id").agg(
+        F.sum("n").alias("row_count"), F.count("mention").alias("mentions"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))), "|").alias("entity_types"),
+    )
+    advice = F.when(F.upper(out["entity_id"]) == marker.upper(), "leave out, or count as ungrounded mentions").otherwise("review, or add to the dictionary")
+    same = out["source_table"].eqNullSafe(samples["source_table"]) & out["entity_id"].eqNullSafe(samples["entity_id"])
+    return out.join(samples, same, "left").select(out["source_table"], out["entity_id"], "row_count", "mentions", "entity_types", F.coalesce("sample_mentions", F.lit("")).alias("sample_mentions"), advice.alias("advice"))
+
+
+def unmatched_decision(by_entity: DataFrame, marker: str) -> DataFrame:
+    """One row for all unknown entities: rows, those of the marker and others, the marker's share, and which dictionary to use."""
+    mark = F.upper("entity_id").eqNullSafe(F.lit(marker.upper()))
+    one = by_entity.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("unmatched_rows"), F.coalesce(F.sum(F.when(mark, F.col("row_count"))), F.lit(0)).alias("ungrounded_rows"))
+    out = one.withColumn("other_rows", F.col("unmatched_rows") - F.col("ungrounded_rows"))
+    share = F.coalesce(F.col("ungrounded_rows") / F.nullif("unmatched_rows", F.lit(0)), F.lit(0.0))
+    decision = (
+        F.when(F.col("unmatched_rows") == 0, "dictionary covers all").when((share >= 0.99) & (F.col("other_rows") == 0), "leave out ungrounded, use the dictionary")
+        .when(share >= 0.99, "leave out ungrounded, review few others").otherwise("review others, consider adding nodes")
+    )
+    return out.withColumn("ungrounded_share", F.round(share, 6)).withColumn("decision", decision)
+
+
+def match_stats(raw: DataFrame, kept: DataFrame, name: str) -> DataFrame:
+    """Rows of a link table before and after its ends were matched, and the rate."""
+    both = raw.agg(F.count("*").alias("raw_rows")).join(kept.agg(F.count("*").alias("matched_rows")), F.lit(True), "left")
+    return both.select(
+        F.lit(name).alias("link_table"), "raw_rows", "matched_rows", (F.col("raw_rows") - F.col("matched_rows")).alias("unmatched_rows"), F.round(F.col("matched_rows") / F.nullif("raw_rows", F.lit(0)), 6).alias("match_rate"),
+    )
+
+
+def input_checks(tables: dict[str, DataFrame], required: dict[str, list[str]], keys: list[tuple[str, str, str, str]] = ()) -> DataFrame:
+    """(check, table_name, violations, detail) of a step's inputs: tables that are missing, columns they lack, empty ones, and keys (child, column, parent, column) without a parent.
+
+    A check whose table or column is missing isn't made; that is a violation of the check before it. Keys are compared as trimmed text, blank ones don't count.
+    """
+    some = next(iter(tables.values()))
+    fixed, counted = [], []
+    for name, columns in required.items():
+        fixed.append(("table present", name, int(name not in tables), ""))
+        if name in tables:
+            lacking = [c for c in columns if c not in tables[name].columns]
+            fixed.append(("required columns", name, len(lacking), ",".join(lacking)))
+            rows = tables[name].limit(1).agg((1 - F.count("*")).alias("violations"))
+            counted.append(rows.select(F.lit("not empty").alias("check"), F.lit(name).alias("table_name"), "violations", F.lit("").alias("detail")))
+    for child, column, parent, parent_column in keys:
+        if child in tables and parent in tables and column in tables[child].columns and parent_column in tables[parent].columns:
+            lost = tables[child].select(expr.key(F.col(column)).alias("k")).filter("k is not null").join(tables[parent].select(expr.key(F.col(parent_column)).alias("k")), "k", "left_anti")
+            counted.append(lost.agg(F.count("*").alias("violations")).select(F.lit("keys known").alias("check"), F.lit(child).alias("table_name"), "violations", F.lit(f"{column} in {parent}.{parent_column}").alias("detail")))
+    rows = F.array(*(F.struct(F.lit(c).alias("check"), F.lit(t).alias("table_name"), F.lit(n).cast("long").alias("violations"), F.lit(d).alias("detail")) for c, t, n, d in fixed))
+    return union_all([some.sparkSession.range(1).select(F.explode(rows).alias("r")).select("r.*"), *counted])
+
+
+def sanity(units: DataFrame, evidence: DataFrame, expected: list[str], forbidden_pairs: list[str], forbidden_entities: list[str], modalities: list[str], summary: DataFrame) -> DataFrame:
+    """The checks of finished units with PASS, WARN or FAIL and the number behind it, for a unit table whose pair types are "a-b" of the entities' types.
+
+    evidence: unit_id, carrier_key, carrier_type. summary, one row: unit_count, edge_count as the builder reported them. A missing expected pair type is a warning.
+    Counts by modality (columns <modality>_count of units) must equal the evidence's distinct carriers of that type. Supports and cross-modal units are told with PASS.
+    """
+    side = lambda i: F.split("pair_type", "-")[i]
+    supported = lambda *m: F.greatest(*(F.col(f"{x}_count") for x in m), F.lit(0)) > 0
+    seen = sum((F.col(f"{m}_count") > 0).cast("int") for m in modalities)
+    present = units.select("pair_type").distinct()
+    a = units.agg(
+        F.count_if(~F.col("pair_type").isin(expected)).alias("unexpected_pair_types"), F.count_if(F.col("pair_type").isin(forbidden_pairs)).alias("forbidden_pair_types"),
+        F.count_if(side(0).isin(forbidden_entities) | side(1).isin(forbidden_entities)).alias("forbidden_entity_types"), F.count_if(F.col("entity_a") == F.col("entity_b")).alias("self_pairs"),
+        (F.count("*") - F.count_distinct("unit_id")).alias("repeated_units"),
+    )
+    told = units.agg(F.count_if(seen >= 2).alias("cross_modal_units"), *(F.count_if(supported(m)).alias(f"{m}_supported_units") for m in modalities))
+    lacking = units.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, expected))).alias("pair_type")).join(present, "pair_type", "left_anti").agg(F.count("*").alias("expected_pair_types_absent"))
+    reversed_ = units.groupBy(expr.unordered_pair_key(F.col("pair_type"), F.col("entity_a"), F.col("entity_b")).alias("k")).agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").alias("reversed_pairs"))
+    orphans = evidence.join(units.select("unit_id"), "unit_id", "left_anti").agg(F.count("*").alias("evidence_without_unit"))
+    counted = evidence.groupBy("unit_id").agg(F.count_distinct("carrier_key").alias("__all"), *(F.count_distinct(F.when(F.col("carrier_type") == m, F.col("carrier_key"))).alias(f"__{m}") for m in modalities))
+    differs = F.lit(False)
+    for m, c in [("all", "carrier_count"), *((m, f"{m}_count") for m in modalities)]:
+        differs = differs | (F.coalesce(f"__{m}", F.lit(0)) != F.col(c))
+    off = units.join(counted, "unit_id", "left").agg(F.count_if(differs).alias("count_mismatches"))
+    totals = units.agg(F.count("*").alias("u")).join(evidence.agg(F.count("*").alias("e")), F.lit(True), "left").join(summary, F.lit(True), "left")
+    totals = totals.select(F.abs(F.coalesce("unit_count", F.lit(-1)) - F.col("u")).alias("summary_units_differ"), F.abs(F.coalesce("edge_count", F.lit(-1)) - F.col("e")).alias("summary_edges_differ"))
+    parts = {"FAIL": [a, reversed_, orphans, off, totals], "WARN": [lacking], "PASS": [told]}
+    rows = [x.select(*(F.col(c).cast("long").alias(c) for c in x.columns)).unpivot([], x.columns, "check", "n").withColumn("status", F.when(F.col("n") > 0, s).otherwise("PASS")) for s, xs in parts.items() for x in xs]
+    return union_all(rows).select("check", "status", "n")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evgraph.plans import feature_plans, graph_plans, link_plans, metric_plans, model_plans, selection_plans, table_plans, unit_plans
+from evgraph.plans import dataset_plans, feature_plans, graph_plans, link_plans, metric_plans, model_plans, selection_plans, table_plans, unit_plans
 
-_PARTS = (unit_plans, graph_plans, metric_plans, link_plans, table_plans, model_plans, feature_plans, selection_plans)
+_PARTS = (unit_plans, graph_plans, metric_plans, link_plans, table_plans, model_plans, feature_plans, selection_plans, dataset_plans)
 
 
 def queries() -> dict:
