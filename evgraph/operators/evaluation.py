@@ -1,36 +1,90 @@
-"""Reports of scored rows, in wide and long form, and tables that compare the reports of many runs."""
+"""Reports of scored rows, in wide and long form, and tables that compare the reports of many runs.
+
+No window or group spans the rows of a split: the first k rows are cut before they are shuffled, ranks of first positives are counted, and areas come from score ranges
+with the counts above each.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evgraph.operators import metrics
+from evgraph.operators import graph, metrics
 from evgraph.operators.audit import union_all
 
 KS = [10, 50, 100, 500, 1000]
 
 
+def areas(rows: DataFrame, by: list[str], ranges: int = 256) -> DataFrame:
+    """AUROC (half for ties; null with one class) and average precision (null without positives) of each group, exact whatever the ranges.
+
+    Distinct scores are counted, then dealt to ranges between quantiles of them; a range starts from the counts of all ranges above. At most `ranges` bounds are sent to the tasks.
+    """
+    counted = rows.groupBy(*by, "score").agg(F.count("*").alias("n"), F.sum(F.col("label").cast("bigint")).alias("p"))
+    steps = F.array(*(F.lit((i + 1) / ranges) for i in range(ranges - 1)))
+    bounds = counted.agg(F.percentile_approx("score", steps, 10 * ranges).alias("bounds"))
+    ranged = counted.join(F.broadcast(bounds), F.lit(True), "left").withColumn("range", F.size(F.filter("bounds", lambda b: b < F.col("score")))).drop("bounds")
+    sums = ranged.groupBy(*by, "range").agg(F.sum("n").alias("rn"), F.sum("p").alias("rp"))
+    whole = Window.partitionBy(*by)
+    above = whole.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    sums = sums.select(*by, "range", before("rn").alias("bn"), before("rp").alias("bp"), F.sum("rn").over(whole).alias("all_n"), F.sum("rp").over(whole).alias("all_p"))
+    inside = Window.partitionBy(*by, "range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    each = ranged.withColumns({"cn": F.sum("n").over(inside), "cp": F.sum("p").over(inside)}).join(sums, [*by, "range"])
+    cn, cp, negatives = F.col("cn") + F.col("bn"), F.col("cp") + F.col("bp"), F.col("n") - F.col("p")
+    out = each.groupBy(*by).agg(
+        F.max("all_n").alias("rows"), F.max("all_p").alias("positives"), F.sum(negatives.cast("double") * (cp - F.col("p")) + 0.5 * negatives * F.col("p")).alias("won"), F.sum(F.col("p") * cp / cn).alias("area")
+    )
+    pairs = F.col("positives").cast("double") * (F.col("rows") - F.col("positives"))
+    return out.select(*by, F.round(F.col("won") / F.nullif(pairs, F.lit(0.0)), 6).alias("auroc"), F.round(F.col("area") / F.nullif("positives", F.lit(0)), 6).alias("auprc"))
+
+
+def first_hits(rows: DataFrame, by: list[str], tie: str) -> DataFrame:
+    """(by, mrr): 1 / rank of each group's first positive, 0 without one. The rank is counted: rows with a higher score, and those of the same score before it by `tie`."""
+    best = rows.groupBy(*by).agg(F.max(F.when(F.col("label") == 1, F.col("score"))).alias("best"))
+    tied = rows.join(best, by).filter((F.col("label") == 1) & (F.col("score") == F.col("best"))).groupBy(*by).agg(F.first("best").alias("best"), F.min(tie).alias("first"))
+    ahead = rows.join(tied, by).groupBy(*by).agg(F.count_if((F.col("score") > F.col("best")) | ((F.col("score") == F.col("best")) & (F.col(tie) < F.col("first")))).alias("ahead"))
+    return best.select(*by).join(ahead, by, "left").select(*by, F.round(F.coalesce(1.0 / (F.col("ahead") + 1), F.lit(0.0)), 6).alias("mrr"))
+
+
+def tops(rows: DataFrame, counts: DataFrame, by: list[str], tie: str, ks: list[int]) -> DataFrame:
+    """Hits, precision, recall, NDCG and enrichment at each k, side by side: counts (by, example_count, positive_count) tells what a perfect order would reach."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), tie))
+    first = rows.select(*by, "score", "label", tie).withColumn("rank", place).filter(F.col("rank") <= max(ks))
+    hit = lambda k: (F.col("rank") <= k).cast("bigint") * F.col("label")
+    sums = [x for k in ks for x in (F.sum(hit(k)).cast("bigint").alias(f"hits_at_{k}"), F.sum(hit(k) / F.log2(F.col("rank") + 1.0)).alias(f"dcg_{k}"))]
+    out = counts.select(*by, "example_count", "positive_count").join(first.groupBy(*by).agg(*sums), by)
+    columns = []
+    for k in ks:
+        hits = F.col(f"hits_at_{k}")
+        precision = hits / F.least(F.lit(k), F.col("example_count"))
+        ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.col("positive_count").cast("int"))), F.lit(0.0), lambda a, i: a + 1.0 / F.log2(i + 1.0))
+        columns += [
+            hits, F.round(precision, 6).alias(f"precision_at_{k}"), F.round(hits / F.nullif("positive_count", F.lit(0)), 6).alias(f"recall_at_{k}"),
+            F.when(F.col("positive_count") > 0, F.round(F.col(f"dcg_{k}") / ideal, 6)).alias(f"ndcg_at_{k}"),
+            F.round(precision / F.nullif(F.col("positive_count") / F.col("example_count"), F.lit(0.0)), 6).alias(f"enrichment_at_{k}"),
+        ]
+    return out.select(*by, *columns)
+
+
 def report(rows: DataFrame, by: list[str], tie: str, ks: list[int] = KS, threshold: float | None = None) -> DataFrame:
     """One row for each group of (score, label 0 or 1): counts, the range and mean of scores, AUROC, average precision, MRR, and precision, recall, hits, NDCG and enrichment at each k.
 
     With a threshold also confusion counts, accuracy, precision, recall, specificity and F1. Ties are ranked by `tie`; AUROC and average precision give tied scores one place. A null
-    label or score is an error while it runs, as is a null in a column of `by`; an empty table gives no rows.
+    label or score is an error, as is a null in a column of `by`; an empty table gives no rows. The rows are written to the shared folder first.
     """
     error = F.raise_error(F.lit("rows need a group, a score that is a number and a label of 0 or 1"))
     bad = F.col("label").isNull() | F.col("score").isNull() | F.isnan("score") | ~F.col("label").isin(0, 1)
     checked = rows.withColumn("label", F.when(bad, error).otherwise(F.col("label")).cast("int"))
     # joins by the group would leave nulls out before anything is checked, so the group checks itself
     checked = checked.withColumns({c: F.when(F.col(c).isNull(), error).otherwise(F.col(c)) for c in by})
+    # five aggregations read these rows
+    checked = graph.written(checked.select(*by, tie, "score", "label"), "report-rows")
     counts = checked.groupBy(*by).agg(
         F.count("*").alias("example_count"), F.sum("label").cast("bigint").alias("positive_count"), F.min("score").alias("score_min"), F.max("score").alias("score_max"), F.round(F.avg("score"), 6).alias("score_mean"),
     )
     counts = counts.withColumn("negative_count", F.col("example_count") - F.col("positive_count")).withColumn("positive_ratio", F.round(F.col("positive_count") / F.col("example_count"), 6))
-    ranks = metrics.ranked(checked, by, tie)
-    top = metrics.at_k(ranks, by, ks)
-    names = ["hits", "precision", "recall", "ndcg", "enrichment"]
-    wide = top.groupBy(*by).agg(*(F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}_at_{k}") for k in ks for c in names))
-    out = counts.join(metrics.classification(checked, by).drop("rows", "positives"), by).join(metrics.reciprocal_rank(ranks, by), by).join(wide, by)
+    out = counts.join(areas(checked, by), by).join(first_hits(checked, by, tie), by).join(tops(checked, counts, by, tie, ks), by)
     if threshold is not None:
         out = out.join(metrics.thresholded(checked, by, threshold), by)
     return out

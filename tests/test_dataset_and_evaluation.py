@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evgraph.operators import audit, dataset, evaluation, graph
+from evgraph.operators import audit, dataset, evaluation, graph, metrics
 
 NODES = [("order", "1", 10), ("order", "2", 11), ("part", "1", 20), ("part", "1", 20), (None, "9", 30), ("part", "7", None)]
 
@@ -111,6 +111,24 @@ def test_report_by_hand(spark):
     assert (b["auroc"], b["auprc"], b["mrr"], b["recall_at_2"], b["ndcg_at_2"], b["enrichment_at_2"]) == (None, None, 0.0, None, None, None)
 
 
+def test_report_is_that_of_whole_rankings(spark):
+    """Ties, groups of one class and a group that holds nearly all rows: the same figures as by ranking each group whole."""
+    x = spark.range(3000).select(
+        F.when(F.col("id") % 50 == 0, F.lit("few")).when(F.col("id") % 77 == 0, F.lit("none")).otherwise(F.lit("hot")).alias("split"), "id",
+        (F.pmod(F.xxhash64("id"), F.lit(400)) / 10.0).alias("score"), F.when((F.col("id") % 77 != 0) & (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0), 1).otherwise(0).alias("label"),
+    )
+    ks, names = [1, 10, 5000], ["hits", "precision", "recall", "ndcg", "enrichment"]
+    got = {r["split"]: r.asDict() for r in evaluation.report(x, ["split"], "id", ks).collect()}
+    ranks = metrics.ranked(x, ["split"], "id")
+    want = {r["split"]: r.asDict() for r in metrics.classification(x, ["split"]).join(metrics.reciprocal_rank(ranks, ["split"]), "split").collect()}
+    for r in metrics.at_k(ranks, ["split"], ks).collect():
+        want[r["split"]] |= {f"{n}_at_{r['k']}": r[n] for n in names}
+    assert set(got) == {"few", "none", "hot"}
+    for g, w in want.items():
+        for m in w.keys() - {"split", "rows", "positives"}:
+            assert got[g][m] == (None if w[m] is None else pytest.approx(w[m], abs=2e-6)), (g, m)
+
+
 def test_report_refuses_missing_scores_and_takes_empty_tables(spark):
     assert evaluation.report(scored(spark).limit(0), ["split"], "id", [2]).count() == 0
     for bad in [("a", 9, None, 1), ("a", 9, 0.1, None), ("a", 9, 0.1, 2), (None, 9, 0.1, 1), ("a", 9, float("nan"), 1)]:
