@@ -1,6 +1,6 @@
 """Reports of scored rows, in wide and long form, and tables that compare the reports of many runs.
 
-No window or group spans the rows of a split: the first k rows are cut before they are shuffled, ranks of first positives are counted, and areas come from score ranges
+No window spans all rows of a split (see `tops` for its bound): the first k rows are cut before they are shuffled, ranks of first positives are counted, and areas come from score ranges
 with the counts above each.
 """
 
@@ -48,7 +48,10 @@ def first_hits(rows: DataFrame, by: list[str], tie: str) -> DataFrame:
 
 
 def tops(rows: DataFrame, counts: DataFrame, by: list[str], tie: str, ks: list[int]) -> DataFrame:
-    """Hits, precision, recall, NDCG and enrichment at each k, side by side: counts (by, example_count, positive_count) tells what a perfect order would reach."""
+    """Hits, precision, recall, NDCG and enrichment at each k, side by side: counts (by, example_count, positive_count) tells what a perfect order would reach.
+
+    Rows past the largest k are cut before the shuffle if it is at most spark.sql.optimizer.windowGroupLimitThreshold (1000 by default); beyond it each group is sorted in one task.
+    """
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), tie))
     first = rows.select(*by, "score", "label", tie).withColumn("rank", place).filter(F.col("rank") <= max(ks))
     hit = lambda k: (F.col("rank") <= k).cast("bigint") * F.col("label")
