@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import evgraph.plans as plans
-from evgraph.operators import panel, units
+from evgraph.operators import links, panel, units
 
 DATA = "/root/testdata/sf0.001"
 TYPES = [("g", "d"), ("g", "g")]
@@ -35,3 +35,11 @@ def test_totals_end_at_the_range(spark):
 def test_line_items_are_read_once(spark, name):
     plan = plans.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Relation \[[^\]]*l_orderkey", plan)) <= 1
+
+
+def test_repeated_pairs_share_no_more(spark):
+    pairs = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", "y")], "source string, target string")
+    left = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 1.0), ("b", 3, 1.0)], "source string, entity long, w double")
+    right = spark.createDataFrame([("x", 1, 1.0), ("x", 2, 4.0), ("z", 1, 1.0), ("y", 9, 1.0)], "target string, entity long, w double")
+    rows = [(r.source, r.target, r.shared, r.wmin, r.union_size) for r in links.overlap(pairs, left, right).orderBy("source", "target").collect()]
+    assert rows == [("a", "x", 2, 2.0, 2), ("a", "x", 2, 2.0, 2), ("a", "y", 0, 0.0, 3), ("b", "y", 0, 0.0, 2)]
