@@ -258,3 +258,19 @@ def test_blocks_of_a_line_are_bounded(spark):
     total = sum(i % 7 + 1 for i in range(3000))
     ends = lines.groupBy("dst").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("low").collect()
     assert ends[0].low == 0 and ends[-1].high == pytest.approx(total) and all(a.high == pytest.approx(b.low) for a, b in zip(ends, ends[1:], strict=False))
+
+
+def test_walks_meet_one_row_of_edges_a_step_and_hubs_change_nothing(spark):
+    hub = [("hub", f"n{i}", float(i % 3 + 1)) for i in range(700)] + [(f"n{i}", "hub", 1.0) for i in range(700)] + [(f"n{i}", f"n{i + 1}", 2.0) for i in range(600)] + [("n5", "end", 1.0), ("n5", "end", 2.0)]
+    e = spark.createDataFrame(hub, "src string, dst string, weight double")
+    starts = spark.createDataFrame([("hub",), ("n1",), ("n5",), ("end",)], "node string")
+    small, plain = walks.packed_lines(e, per_block=8, wide=100), walks.packed_lines(e)
+    assert plain.hubs is None and [r.at for r in small.hubs.collect()] == ["hub"]
+    assert plain.rows.count() == 701 and small.rows.filter("at = 'hub'").count() > 4
+    assert small.rows.agg(F.max(F.size("cells"))).first()[0] < 30
+    for run in (walks.hub_walks, lambda *a, **k: walks.biased_walks(*a, back=3.0, out=0.5, **k)):
+        one, two = ({r.walk_id: r.path for r in run(e, starts, 5, per_node=300, seed=2, **k).collect()} for k in ({}, {"per_block": 8, "wide": 100}))
+        assert one == two and len(one) == 1200
+    # the walks' plan shuffles the walks, not the edges: one exchange for each step
+    plan = walks.hub_walks(e, starts, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3
