@@ -1,5 +1,7 @@
 """Counts of triples and lines of edges whose repeats don't count, against the plain way."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,3 +30,16 @@ def test_repeated_edges_of_a_metapath_count_once_without_a_shuffle_of_their_own(
     starts = spark.range(3).selectExpr("concat('s', id) as node")
     got, want = ({tuple(r) for r in walks.metapath_walks([x], starts, per_node=30, seed=2, wide=wide).selectExpr("walk_id", "concat_ws('>', path)").collect()} for x in (e, e.distinct()))
     assert got == want and len(got) == 90
+
+
+def test_tables_of_old_steps_are_deleted(spark):
+    e = spark.range(60).selectExpr("id % 10 as src", "(id * 7 + 3) % 10 as dst", "1.0 as weight").unionByName(spark.createDataFrame([(3, 99, 5.0)], "src long, dst long, weight double"))
+    starts = spark.range(11).selectExpr("id as node")  # 10 and 99 have no edges
+    folder = graph.shared_folder(spark)
+    before = set(os.listdir(folder))
+    w = walks.biased_walks(e, starts, 7, per_node=20, back=2.0, out=0.5, seed=1)
+    got = {r["walk_id"]: r["path"] for r in w.collect()}
+    assert len(got) == 220 and all(p[0] == int(i.split("#")[0]) for i, p in got.items())
+    assert all(got[f"10#{r}"] == [10] for r in range(20)) and all(len(p) == 7 or p[-1] in (10, 99) for p in got.values())
+    # a first round and one of repeats or two in the last step; before: those of all six steps
+    assert len([f for f in set(os.listdir(folder)) - before if f.startswith("walks-") and not f.startswith("walks-ended")]) <= 5
