@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from evgraph.operators import dataset, graph, walks
+from evgraph.operators import dataset, graph, structure, walks
 
 
 def test_triple_counts_are_those_of_numbered_triples_both_ways(spark):
@@ -43,3 +43,19 @@ def test_tables_of_old_steps_are_deleted(spark):
     assert all(got[f"10#{r}"] == [10] for r in range(20)) and all(len(p) == 7 or p[-1] in (10, 99) for p in got.values())
     # a first round and one of repeats or two in the last step; before: those of all six steps
     assert len([f for f in set(os.listdir(folder)) - before if f.startswith("walks-") and not f.startswith("walks-ended")]) <= 5
+
+
+def test_node_structure_shuffles_edges_once(spark):
+    links = spark.createDataFrame(
+        [("1", "x", "2", "y", 2001, 2.0, "t"), ("1", "x", "2", "y", 2000, 1.0, "u"), ("1", "x", "3", "z", 2002, None, "t"), ("9", "x", "1", "y", 2003, 1.0, "t"), ("1", "x", "1", "x", 2000, 1.0, "t"), ("1", "x", "4", "y", None, 1.0, "t")],
+        "source_id string, source_kind string, target_id string, target_kind string, year int, weight double, edge_type string",
+    )
+    carriers, cutoffs = spark.createDataFrame([("1",), ("2",)], "carrier_id string"), spark.createDataFrame([(2000,), (2002,)], "cutoff int")
+    out = structure.node_structure(structure.carrier_edges(links, carriers, ["x", "y"]), cutoffs, ["x", "y"])
+    # edges and carriers; before: more for each kind of count
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") <= 2
+    got = {(r["node_id"], r["cutoff"]): [r[m] for m in structure.metrics(["x", "y"])] for r in out.collect()}
+    assert got == {
+        ("1", 2000): [1.0, 1.0, 1.0, 1.0, 0.0, 1.0, 0.0], ("1", 2002): [3.0, 4.0, 2.0, 2.0, 0.0, 2.0, 1.0],
+        ("2", 2000): [1.0, 1.0, 1.0, 1.0, 1.0, 0.0, 0.0], ("2", 2002): [2.0, 3.0, 1.0, 2.0, 2.0, 0.0, 0.0],
+    }
